@@ -188,12 +188,12 @@ SMALL_TABLE = """small AS (SELECT event_id, entity_id, entity_type, epoch_us(ts)
 def sequence_sums(spark, sf_dir, pad=False, limit=2_000_000):
     """Sequences folded to position-weighted sums, which pin down every value and its place."""
     rows = mo.build_sequences(small_features(spark, sf_dir), pad=pad, names=SMALL, limit=limit)
-    folded = [
-        F.aggregate(
-            F.transform("sequence", lambda e, i, f=f: F.get(e, F.lit(f)) * (i + 1)), F.lit(0.0), lambda t, x: t + x
-        ).alias(name)
-        for f, name in enumerate(SMALL)
-    ]
+
+    def folded(place):
+        weighted = F.transform("sequence", lambda event, i: F.get(event, F.lit(place)) * (i + 1))
+        return F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x)
+
+    folded = [folded(place).alias(name) for place, name in enumerate(SMALL)]
     return tidy(rows.select("event_id", "event_number", *folded), 4)
 
 
@@ -292,11 +292,11 @@ def covariances(spark, sf_dir):
     cells = [
         F.get(F.get("covariance", F.lit(i)), F.lit(j)).alias(f"c{i}{j}") for i in range(3) for j in range(3)
     ]
-    return tidy(found.select("entity_id", *cells))
+    return tidy(found.select("entity_id", *cells), 4)
 
 
 COVARIANCES = sql("SELECT entity_id, " + ", ".join(
-    f"round(covar_samp({a}, {b}), 6) + 0.0 AS c{i}{j}" for i, a in enumerate(SMALL) for j, b in enumerate(SMALL)
+    f"round(covar_samp({a}, {b}), 4) + 0.0 AS c{i}{j}" for i, a in enumerate(SMALL) for j, b in enumerate(SMALL)
 ) + " FROM small GROUP BY entity_id", SMALL_TABLE, scores=True)
 
 COFACTORS = [["c11*c22 - c12*c12", "c02*c12 - c01*c22", "c01*c12 - c02*c11"],

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import behaviour, tables
+from . import alerting, behaviour, tables
 from .behaviour import fastest_moves
 
-CATALOG = {**tables.QUERIES, **behaviour.QUERIES}
+CATALOG = {**tables.QUERIES, **behaviour.QUERIES, **alerting.QUERIES}
 
 __all__ = ["CATALOG", "fastest_moves"]

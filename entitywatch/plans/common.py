@@ -72,7 +72,7 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     chord = (
         f"(pow(sin({dlat} / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin({dlon} / 2), 2))"
     )
-    return f"coalesce(2 * {EARTH_RADIUS_KM} * asin(sqrt(least(1.0, {chord}))), 0.0)"
+    return f"CASE WHEN {chord} IS NULL THEN 0.0 ELSE 2 * {EARTH_RADIUS_KM} * asin(sqrt(least(1.0, {chord}))) END"
 
 
 BASE = """base AS (SELECT l.*, epoch_us(ts) AS us, split_part(geo_location, '|', 1) AS city,
