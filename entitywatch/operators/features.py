@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import functions as fn
 from ..fixed import AUTH_METHODS, DAY, ENTITY_TYPES, FEATURES, HOUR, MINUTE, SECOND, WEEK
 from . import baseline as bl
-from .windows import HOT_ROWS, sweep
+from .windows import HOT_ROWS, attach, hot_keys, sweep
 
 FREQUENCIES = {
     "access_freq_5min": 5 * MINUTE,
@@ -138,8 +138,9 @@ def build_features(
 ) -> DataFrame:
     """All features per event, in vector order after the `keep` columns.
 
-    One shuffle by (entity, time chunk) serves every window. The lookups that follow are
-    plain equi-joins, which adaptive execution broadcasts when small and splits when skewed.
+    Ordinary entities need one shuffle by entity: lookups, scalars and all windows work on rows
+    that lie together. Hot entities are cut into time chunks, and their lookups are plain joins
+    that adaptive execution splits.
     """
     keep = [c for c in keep if c in log.columns]
     fields = [
@@ -151,25 +152,68 @@ def build_features(
         "command_sequence",
         "device_fingerprint",
     ]
+    if hot is None and limit is not None:
+        hot = hot_keys(log, "entity_id", limit=limit)
     rows = with_failed(with_position(log.select(*dict.fromkeys([*IDS[:2], "timestamp", *keep, *fields]))))
-    rows = sweep(rows, sums=_rolling(), mixes=VARIETY, lags=_lags(), limit=limit, hot=hot)
-    rows = encodings(calendar(_movement(rows)))
+    tables = {
+        "resource_accessed": bl.known_of(baseline, "resource", "resource_accessed").withColumn("known", F.lit(1)),
+        "device_fingerprint": bl.device_flags(log, baseline),
+        "command_sequence": bl.command_novelty(log, baseline),
+    }
     entity = baseline.homes.join(bl.duration_spread(log), "entity_id", "full")
-    rows = rows.join(entity, "entity_id", "left").withColumns(
+    wanted = dict(sums=_rolling(), mixes=VARIETY, lags=_lags(), limit=None)
+
+    def together(part: DataFrame) -> DataFrame:
+        found = _without_history(attach(part, tables).join(entity, "entity_id", "left"))
+        return sweep(found, **wanted, arranged=True, keep=kept)
+
+    def joined(part: DataFrame) -> DataFrame:
+        found = sweep(part, **wanted, hot=hot).join(entity, "entity_id", "left")
+        for column, table in tables.items():
+            found = found.join(table, ["entity_id", column], "left")
+        return _without_history(found)
+
+    kept = [*dict.fromkeys([*keep, "timestamp", "lat", "lon"]), *WITHOUT_HISTORY]
+    if hot is None:
+        found = together(rows)
+    else:
+        cold = rows.join(F.broadcast(hot), "entity_id", "left_anti")
+        split = rows.join(F.broadcast(hot), "entity_id", "left_semi")
+        found = together(cold).unionByName(joined(split), allowMissingColumns=True)
+    return clean(_movement(found)).select(*keep, *FEATURES)
+
+
+WITHOUT_HISTORY = [
+    "hour_of_day",
+    "day_of_week",
+    "is_weekend",
+    "is_off_hours",
+    "geo_distance_km",
+    "resource_novelty_score",
+    "auth_method_changed",
+    "session_duration_zscore",
+    "session_duration_raw",
+    "fingerprint_mismatch",
+    "new_device_flag",
+    "command_seq_length",
+    "command_seq_novelty",
+    "entity_type_encoded",
+    "auth_method_encoded",
+]
+
+
+def _without_history(rows: DataFrame) -> DataFrame:
+    """The features that follow from the event and its lookups alone."""
+    return encodings(calendar(rows)).withColumns(
         {
             "geo_distance_km": fn.haversine_km("home_lat", "home_lon", "lat", "lon"),
             "auth_method_changed": F.col("auth_method") != F.col("home_auth"),
             "session_duration_zscore": fn.zscore("session_duration", "duration_mean", "duration_std"),
             "session_duration_raw": F.col("session_duration"),
             "command_seq_length": fn.command_count("command_sequence"),
+            "resource_novelty_score": F.col("known").isNull() & F.col("resource_accessed").isNotNull(),
         }
     )
-    rows = bl.mark_unseen(
-        rows, bl.known_of(baseline, "resource", "resource_accessed"), "resource_accessed", "resource_novelty_score"
-    )
-    rows = rows.join(bl.device_flags(log, baseline), ["entity_id", "device_fingerprint"], "left")
-    rows = rows.join(bl.command_novelty(log, baseline), ["entity_id", "command_sequence"], "left")
-    return clean(rows).select(*keep, *FEATURES)
 
 
 def feature_array(names: list[str] = FEATURES) -> Column:

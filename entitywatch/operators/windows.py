@@ -70,6 +70,8 @@ def sweep(
     event: str = "event_id",
     limit: int | None = HOT_ROWS,
     hot: DataFrame | None = None,
+    arranged: bool = False,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Add trailing-window columns to every row, with one shuffle of the rows.
 
@@ -79,23 +81,52 @@ def sweep(
     number  name of the running event number, from 1
     limit   rows above which a key is cut into chunks; None never cuts
     hot     the result of `hot_keys`, if it is known already
+    arranged  the rows lie together by key already; used if no key is hot
+    keep    columns to return beside the keys and the new ones; all by default
     """
-    keys, sums, lags = _keys(key), sums or {}, lags or {}
+    keys = _keys(key)
     if hot is None and limit is not None:
         hot = hot_keys(df, keys, time, limit)
-    place = [*keys, "_chunk"] if hot is not None else keys
+    wanted = dict(sums=sums or {}, mixes=list(mixes), lags=lags or {}, number=number, time=time, event=event, keep=keep)
+    if hot is None:
+        return _sweep(df if arranged else df.repartition(*keys), keys, False, **wanted)
+    cold, split = split_hot(df, hot, keys)
+    return _sweep(cold.repartition(*keys), keys, False, **wanted).unionByName(_sweep(split, keys, True, **wanted))
+
+
+def split_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and rows of hot keys with their chunk width."""
+    hot = F.broadcast(hot)
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys)
+
+
+def _sweep(
+    df: DataFrame,
+    keys: list[str],
+    chunked: bool,
+    sums: dict[str, tuple[str | None, int]],
+    mixes: list[tuple[str, str, str, int]],
+    lags: dict[str, Column],
+    number: str | None,
+    time: str,
+    event: str,
+    keep: list[str] | None,
+) -> DataFrame:
+    """The sweep over rows that lie together by key, or that are still to be dealt out by chunk."""
+    place = [*keys, "_chunk"] if chunked else keys
     slot = {w: i + 1 for i, w in enumerate(sorted({s[1] for s in sums.values()} | {m[3] for m in mixes}))}
-    payload = [c for c in df.columns if c not in keys]
+    columns = [c for c in df.columns if c != "_width" and (keep is None or c in keys or c in keep)]
+    payload = [c for c in columns if c not in keys]
     kind, us = F.col("_kind"), F.unix_micros(time)
     added = sorted({c for c, _ in sums.values() if c})
 
     points = F.array(*[F.struct(F.lit(0).alias("_kind"), us.alias("_at"))] + [
         F.struct(F.lit(i).alias("_kind"), (us + w).alias("_at")) for w, i in slot.items()
     ])
-    marks = _with_width(df, keys, hot).select("*", F.inline(points))
+    marks = df.select("*", F.inline(points))
     marks = marks.select(
         *keys,
-        *(["_width", _chunk(F.col("_at")).alias("_chunk")] if hot is not None else []),
+        *(["_width", _chunk(F.col("_at")).alias("_chunk")] if chunked else []),
         "_kind",
         "_at",
         F.when(kind == 0, F.col(event)).alias("_id"),
@@ -116,24 +147,23 @@ def sweep(
         },
     }
     rows = marks
-    if hot is not None:
+    if chunked:
         for carry in _carry_rows(marks, keys, steps, len(mixes), bool(lags)):
             rows = rows.unionByName(carry, allowMissingColumns=True)
-        steps = {n: F.when(kind == -1, F.col(f"_c{n}")).otherwise(step) for n, step in steps.items()}
-    if mixes:
         rows = rows.repartition(*place)
+        steps = {n: F.when(kind == -1, F.col(f"_c{n}")).otherwise(step) for n, step in steps.items()}
 
     # Open count of each value after each mark, then what that mark changes in the totals.
     for i in range(len(mixes)):
         opened = steps[f"_size{i}"]
-        if hot is not None:
+        if chunked:
             opened = F.when(kind == -1, F.col(f"_open{i}")).otherwise(opened)
         by_value = Window.partitionBy(*place, f"_v{i}").orderBy("_at", "_kind", "_id")
         rows = rows.withColumn("_after", F.sum(opened).over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
         after, before = F.col("_after"), F.col("_after") - opened
         flow = _weight(after) - _weight(before)
         new = (after > 0).cast("bigint") - (before > 0).cast("bigint")
-        if hot is not None:
+        if chunked:
             flow = F.when(kind == -1, F.col(f"_c_flow{i}")).otherwise(flow)
             new = F.when(kind == -1, F.col(f"_c_new{i}")).otherwise(new)
         rows = rows.withColumns({f"_flow{i}": flow, f"_new{i}": new}).drop("_after")
@@ -145,7 +175,7 @@ def sweep(
         rows = rows.withColumn("_previous", F.last("_last", ignorenulls=True).over(before))
     if number:
         one = F.when(kind == 0, F.lit(1).cast("bigint"))
-        if hot is not None:
+        if chunked:
             one = F.when(kind == -1, F.col("_c_number")).otherwise(one)
         rows = rows.withColumn(number, F.sum(one).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     totals = dict(steps)
@@ -154,7 +184,7 @@ def sweep(
     if totals:
         rows = rows.withColumns({name: F.sum(step).over(through) for name, step in totals.items()})
 
-    out = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
+    out = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in columns]
     out += [F.col("_previous")[n].alias(n) for n in lags]
     out += [F.col(number)] if number else []
     out += [F.coalesce(F.col(f"_sum_{n}"), F.lit(0)).alias(n) for n in sums]
@@ -214,6 +244,24 @@ def _carry_rows(
     return carries
 
 
+def attach(df: DataFrame, tables: dict[str, DataFrame], key="entity_id") -> DataFrame:
+    """Add the columns of lookup tables, each keyed by (key, column), with one shuffle for all.
+
+    Table rows travel with the rows of their key and hand their values over inside the task. A
+    join per table would shuffle the rows once for each. The result lies together by key; hot
+    keys do not belong here.
+    """
+    keys = _keys(key)
+    rows = df.withColumn("_looked_up", F.lit(False))
+    for column, table in tables.items():
+        rows = rows.unionByName(table.withColumn("_looked_up", F.lit(True)), allowMissingColumns=True)
+    rows = rows.repartition(*keys)
+    for column, table in tables.items():
+        group = Window.partitionBy(*keys, column)
+        rows = rows.withColumns({c: F.max(c).over(group) for c in table.columns if c not in (*keys, column)})
+    return rows.filter(~F.col("_looked_up")).drop("_looked_up")
+
+
 def trailing(
     df: DataFrame,
     value: Column,
