@@ -36,11 +36,11 @@ def row_mse(a, b) -> Column:
 
 
 def mahalanobis(x, mean, inverse) -> Column:
-    """sqrt(d' C d) for an array, a mean array and an inverse covariance as array of rows."""
+    """sqrt(d' C d) for an array, a mean array and an inverse covariance as array of rows; null if one is."""
     gap = _gap(x, mean)
     weighted = F.transform(_col(inverse), lambda row: _sum(F.zip_with(row, gap, lambda c, d: c * d)))
     quadratic = _sum(F.zip_with(weighted, gap, lambda w, d: w * d))
-    return F.sqrt(F.greatest(quadratic, F.lit(0.0)))
+    return F.sqrt(F.when(quadratic < 0, F.lit(0.0)).otherwise(quadratic))
 
 
 def decay_weight(age, factor: float = DECAY) -> Column:
