@@ -144,12 +144,13 @@ def score_detector(
 def _neighbours(k: int):
     def nearest(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("event_id", ignore_index=True)
-        points = np.stack(block["point"].to_numpy()) if len(block) else np.empty((0, 0))
-        lengths = (points * points).sum(axis=1)
+        points = np.stack(block["point"].to_numpy())
+        centred = points - points.mean(axis=0)
+        lengths = (centred * centred).sum(axis=1)
         found = []
         for start in range(0, len(points), 500):
-            strip = points[start : start + 500]
-            distance = lengths[None, :] + (strip * strip).sum(axis=1)[:, None] - 2 * strip @ points.T
+            strip = centred[start : start + 500]
+            distance = lengths[None, :] + (strip * strip).sum(axis=1)[:, None] - 2 * strip @ centred.T
             distance[np.arange(len(strip)), start + np.arange(len(strip))] = np.inf
             order = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(points) - 1)]
             found.extend(points[row].tolist() for row in order)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..fixed import LABELS
+from .. import functions as fn
+from ..fixed import FEATURES, LABELS
 from ..operators import alerts as al
 from ..operators import evaluation as ev
 from ..operators import explain as ex
@@ -10,7 +11,7 @@ from ..operators import lookups as lk
 from ..operators import models as mo
 from ..operators import profiles as pr
 from ..session import fresh_path, materialize
-from .behaviour import labelled_features
+from .behaviour import FEATURE_PARTS, labelled_features
 from .common import *
 
 ALERTS = """alerts AS (SELECT event_id, entity_id, entity_type, ts, strftime(ts, '%Y-%m-%d') AS date, label AS true_label, risk_score,
@@ -164,9 +165,22 @@ def detector(spark, sf_dir):
 
 
 def nearest(spark, sf_dir):
+    """Number in the class, neighbours found and distance to the farthest of them."""
     rows = _stored(spark, sf_dir).filter(F.col("label") != "normal")
-    found = mo.neighbours(rows)
-    return found.select("event_id", "label", "position", F.size("neighbours").alias("n"))
+    distances = F.transform("neighbours", lambda n: fn.euclidean("point", n))
+    found = mo.neighbours(rows).select(
+        "event_id", "label", "position", F.size("neighbours").alias("n"), F.array_max(distances).alias("reach")
+    )
+    return tidy(found, 2)
+
+
+_SQUARES = " + ".join(f"pow(a.{n} - b.{n}, 2)" for n in FEATURES)
+NEAREST = sql(f"""SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY event_id) - 1 AS position, count(*) AS n,
+  round(max(distance), 2) + 0.0 AS reach FROM (
+    SELECT a.event_id, a.label, sqrt({_SQUARES}) AS distance,
+      row_number() OVER (PARTITION BY a.event_id ORDER BY {_SQUARES}, b.event_id) AS r
+    FROM rare a JOIN rare b ON a.label = b.label AND a.event_id <> b.event_id) WHERE r <= 5 GROUP BY event_id, label""",
+  *FEATURE_PARTS, """rare AS (SELECT f.*, l.label FROM feature f JOIN access_log l USING (event_id) WHERE l.label <> 'normal')""", scores=True)
 
 
 def oversampled(spark, sf_dir):
@@ -190,17 +204,25 @@ def importances(spark, sf_dir):
 def explained(spark, sf_dir):
     rows = _stored(spark, sf_dir)
     found = ex.explain(rows, _forest(rows))
-    parts = F.aggregate("contributions", F.lit(0.0), lambda total, x: total + x)
     return found.select(
         "event_id",
         "predicted_attack_type",
         "confidence",
-        (F.col("base") + parts).alias("explained"),
+        F.to_json("shap_values").alias("shap_values"),
         F.array_join("top_features", ",").alias("top_features"),
         "top_reason",
     )
 
 
+def attribution_sums(spark, sf_dir):
+    """Whether base and contributions add up to the predicted probability, for every event."""
+    rows = _stored(spark, sf_dir)
+    found = ex.explain(rows, _forest(rows))
+    parts = F.aggregate("contributions", F.lit(0.0), lambda total, x: total + x)
+    exact = F.abs(F.col("base") + parts - F.col("confidence")) < 1e-9
+    return tidy(found.select("event_id", exact.alias("adds_up"), F.size("top_features").alias("reasons")))
+
+
 def one_explained(spark, sf_dir):
     rows = _stored(spark, sf_dir)
     found = ex.explain_alert(rows, _forest(rows), 17)
@@ -216,17 +238,15 @@ def reloaded(spark, sf_dir):
     )
     path = fresh_path(spark, "models")
     mo.save_models(models, path)
+    loaded = mo.load_models(spark, path)
+    padded = mo.build_sequences(rows, pad=True)
     sides = []
-    for side, m in (("saved", models), ("loaded", mo.load_models(spark, path))):
-        both = mo.classify(mo.score_reconstruction(rows, m.reconstruction), m.classifier)
-        sides.append(
-            both.select(
-                "event_id",
-                F.col("reconstruction_score").alias(f"{side}_reconstruction"),
-                F.col("predicted_attack_type").alias(f"{side}_class"),
-            )
-        )
-    return sides[0].join(sides[1], "event_id")
+    for side, m in (("saved", models), ("loaded", loaded)):
+        both = mo.score_detector(pr.score_profile(mo.score_reconstruction(padded, m.reconstruction), m.stats), m.detector)
+        scores = F.struct("reconstruction_score", "profile_score", "risk_score", "predicted_attack_type", "confidence")
+        sides.append(mo.classify(both, m.classifier).select("event_id", scores.alias(side)))
+    same = F.col("saved") == F.col("loaded")
+    return tidy(sides[0].join(sides[1], "event_id").select("event_id", same.alias("same")))
 
 
 QUERIES = {
@@ -371,11 +391,17 @@ QUERIES = {
     "m3_reconstruction": (reconstruction, None),
     "m2_m4_baseline_scores": (baseline_scores, None),
     "m7_m8_detector": (detector, None),
-    "j11_neighbours": (nearest, None),
-    "m9_oversample": (oversampled, None),
+    "j11_neighbours": (nearest, NEAREST),
+    "m9_oversample": (
+        oversampled,
+        sql(f"""SELECT label, synthetic, n FROM (
+  SELECT label, false AS synthetic, n FROM counts UNION ALL SELECT label, true, (SELECT max(n) FROM counts) - n FROM counts) WHERE n > 0""",
+            f"counts AS (SELECT label, count(*) AS n FROM access_log WHERE ts < TIMESTAMP '{TRAIN_UNTIL}' GROUP BY label)", scores=True),
+    ),
     "m10_classify": (classified, None),
     "m11_o6_importance": (importances, None),
     "x1_tree_attribution": (explained, None),
+    "x1_tree_sums": (attribution_sums, sql("SELECT event_id, 1 AS adds_up, 3 AS reasons FROM access_log")),
     "x4_one_alert": (one_explained, None),
-    "s8_reloaded_models": (reloaded, None),
+    "s8_reloaded_models": (reloaded, sql("SELECT event_id, 1 AS same FROM access_log")),
 }
