@@ -28,6 +28,7 @@ from .features import feature_array
 from .windows import HOT_ROWS, trailing
 
 BLOCK_ROWS = 4000
+COPY_STEP = 100_000
 
 
 class Reconstruction(NamedTuple):
@@ -194,6 +195,14 @@ def neighbours(
     )
 
 
+def _copies(rows: DataFrame, step: int = COPY_STEP) -> DataFrame:
+    """One row per copy, numbered from 1. A row with very many copies is dealt out in portions first."""
+    portions = rows.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"), F.lit(step))))
+    portions = portions.repartition("event_id", "_from")
+    upto = F.least(F.col("_from") + (step - 1), F.col("copies"))
+    return portions.withColumn("copy", F.explode(F.sequence(F.col("_from"), upto))).drop("_from")
+
+
 def oversample(
     features: DataFrame, label: str = "label", k: int = 5, names: list[str] = FEATURES, seed: int = 42,
     block_rows: int = BLOCK_ROWS,
@@ -213,7 +222,7 @@ def oversample(
     copies = F.floor(missing / F.col("class_rows")) + extra
     small = features.join(F.broadcast(counts.filter(F.col("n") < most).select(F.col("label").alias(label))), label)
     base = neighbours(small, label, k, names, block_rows).withColumn("copies", copies)
-    made = base.filter(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    made = _copies(base.filter(F.col("copies") > 0))
     pick = F.pmod(F.xxhash64("event_id", "copy", F.lit(seed)), F.size("neighbours")).cast("int")
     step = (F.pmod(F.xxhash64("copy", "event_id", F.lit(seed + 1)), F.lit(1_000_000)) + 0.5) / 1_000_000
     other = F.when(F.size("neighbours") > 0, F.get("neighbours", pick)).otherwise(F.col("point"))

@@ -11,6 +11,8 @@ from ..operators import lookups as lk
 from ..operators import models as mo
 from ..operators import profiles as pr
 from ..session import fresh_path, materialize
+from ..sources import tables as tb
+from .batch import run_batch
 from .behaviour import FEATURE_PARTS, labelled_features
 from .common import *
 
@@ -249,6 +251,13 @@ def reloaded(spark, sf_dir):
     return tidy(sides[0].join(sides[1], "event_id").select("event_id", same.alias("same")))
 
 
+def batch_alerts(spark, sf_dir):
+    """Alert rows written by the whole batch run."""
+    out = fresh_path(spark, "run")
+    run_batch(spark, access_log(spark, sf_dir), truth(spark, sf_dir), out, trees=10)
+    return tidy(tb.read_alerts(spark, f"{out}/alerts").select("event_id", "entity_id", "true_label"))
+
+
 QUERIES = {
     "a7_label_counts": (
         lambda s, d: tidy(al.label_counts(truth(s, d))),
@@ -403,5 +412,10 @@ QUERIES = {
     "x1_tree_attribution": (explained, None),
     "x1_tree_sums": (attribution_sums, sql("SELECT event_id, 1 AS adds_up, 3 AS reasons FROM access_log")),
     "x4_one_alert": (one_explained, None),
+    "s6_batch_alerts": (
+        batch_alerts,
+        sql("""SELECT event_id, entity_id, label AS true_label FROM access_log WHERE ts >= (SELECT ts FROM access_log ORDER BY ts, event_id
+  LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM access_log))""", scores=True),
+    ),
     "s8_reloaded_models": (reloaded, sql("SELECT event_id, 1 AS same FROM access_log")),
 }
