@@ -55,7 +55,7 @@ def _chunk(at: Column) -> Column:
 
 def _weight(n: Column) -> Column:
     """n ln n in fixed point, so that sums of differences cancel exactly."""
-    return F.when(n > 1, F.round(n * F.log(n.cast("double")) * _SCALE).cast("bigint")).otherwise(F.lit(0))
+    return F.when(n > 1, F.rint(n * F.log(n.cast("double")) * _SCALE).cast("bigint")).otherwise(F.lit(0))
 
 
 def sweep(
@@ -114,8 +114,19 @@ def _sweep(
 ) -> DataFrame:
     """The sweep over rows that lie together by key, or that are still to be dealt out by chunk."""
     place = [*keys, "_chunk"] if chunked else keys
-    slot = {w: i + 1 for i, w in enumerate(sorted({s[1] for s in sums.values()} | {m[3] for m in mixes}))}
     columns = [c for c in df.columns if c != "_width" and (keep is None or c in keys or c in keep)]
+    ahead = [*lags, *([number] if number else [])]
+    if not chunked:
+        # Before the marks multiply the rows.
+        order = Window.partitionBy(*keys).orderBy(F.unix_micros(time), event)
+        found = {n: F.lag(c).over(order) for n, c in lags.items()}
+        if number:
+            found[number] = F.row_number().over(order).cast("bigint")
+        df = df.withColumns(found) if found else df
+        columns, ahead, lags, number = [*columns, *ahead], [], {}, None
+        if not sums and not mixes:
+            return df.select(*columns)
+    slot = {w: i + 1 for i, w in enumerate(sorted({s[1] for s in sums.values()} | {m[3] for m in mixes}))}
     payload = [c for c in columns if c not in keys]
     kind, us = F.col("_kind"), F.unix_micros(time)
     added = sorted({c for c, _ in sums.values() if c})
