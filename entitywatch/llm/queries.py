@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import decontamination, jaccard_join, mixing, quality_rules, repeat_index, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_mix_sources": (mixing.op1_mix_sources, None),
+    "op2_token_counts": (token_counts.op2_token_counts, None),
     "op5_jaccard_join": (jaccard_join.op5_jaccard_join, None),
+    "op6_quality_rules": (quality_rules.op6_quality_rules, None),
+    "op7_shard": (sharding.op7_shard, None),
+    "op8_decontaminate": (decontamination.op8_decontaminate, None),
+    "op9_remove_repeats": (repeat_index.op9_remove_repeats, None),
+    "op10_toxicity": (toxicity.op10_toxicity, None),
 }
