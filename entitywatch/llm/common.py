@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
 
-__all__ = ["materialize", "texts", "table", "bitmap", "in_bitmap", "components"]
+__all__ = ["materialize", "texts", "table", "bitmap", "in_bitmap", "row_key", "KEY", "keyed", "split_by", "spread", "components"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,40 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def row_key(df: DataFrame):
+    """A hash of all columns: equal for equal rows only (but for a chance of 2**-64 a pair)."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").isNull() for c in df.columns])
+
+
+def split_by(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of a keyed table that are surely not among the keys' row_key, the others), told apart where they lie."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(keys, "row_key"))
+
+    @F.pandas_udf("boolean")
+    def maybe(values: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, values.to_numpy(np.int64)))
+
+    return df.where(~maybe(F.col(KEY))), df.where(maybe(F.col(KEY)))
+
+
+#: Name of the row key in tables with all columns of the input.
+KEY = "__row_key"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    return df.withColumn(KEY, row_key(df))
+
+
+def spread(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of a keyed table once for each element of the plan's array, as column __item; plan has (row_key, items).
+
+    The plan has one row per key, with elements for all equal rows together, so of equal rows one is spread.
+    """
+    plan = plan.select(F.col("row_key").alias(KEY), F.col("items").alias("__items"))
+    first = F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))
+    return df.join(plan, KEY).withColumn("__first", first).where("__first = 1").withColumn("__item", F.explode("__items"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table (a, b): root is the smallest node that links reach.
 

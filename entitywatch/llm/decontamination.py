@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, in_bitmap, materialize, table, texts
+from .common import KEY, bitmap, in_bitmap, keyed, materialize, row_key, split_by, table, texts
 from .text import IS_SPACE, chunked, mix, prefix_sums, signed, span_hashes, window_hashes, word_spans
 
 WINDOW = 8
@@ -175,5 +175,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return out.join(kept.select("item_id", "n_items"), "item_id").select("doc_id", "item_id", "n_items", "matched_windows", "item_windows", "coverage", "changed_slots")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """docs without contaminated documents; each row is judged by its own text."""
+    found = contaminated(docs.select(row_key(docs).alias("doc_id"), "text"), benchmark, coverage)
+    gone = materialize(found.select(F.col("doc_id").alias("row_key")).distinct(), "contaminated")
+    sure, maybe = split_by(keyed(docs), gone)
+    return sure.select(docs.columns).union(maybe.join(gone.withColumnRenamed("row_key", KEY), KEY, "left_anti").select(docs.columns))
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

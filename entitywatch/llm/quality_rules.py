@@ -91,6 +91,7 @@ def _means(kinds, weights: np.ndarray) -> np.ndarray:
     for (slots, (first, last)), w in zip(kinds, weights):
         total = np.zeros(len(slots) + 1)
         np.cumsum(w[slots], out=total[1:])
+        first, last = np.minimum(first, len(slots)), np.minimum(last, len(slots))
         out = out + (total[last] - total[first]) / np.maximum(last - first, 1)
     return out
 
@@ -180,7 +181,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
     """(text, label) of at most `rows` labelled documents, those whose ids hash lowest."""
     known = labels.where(f"doc_id is not null and `{label}` is not null").groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(rows)
-    return texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # `rows` bounds the broadcast
+    return one_text_each(texts(docs).join(F.broadcast(chosen), "doc_id"))  # `rows` bounds the broadcast
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """Of rows with one doc_id the text with the lowest hash, so that the number of ids bounds the sample."""
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
 
 
 def _fit_group(group: pd.DataFrame) -> pd.DataFrame:
@@ -221,9 +227,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return texts(docs).mapInArrow(_score(shared, threshold), f"doc_id long, {BASE}, base_failed boolean, good_probability double, kept boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents that the rules keep, with all their columns; the text is judged where it lies, without a join."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows).pack())
+def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The documents that the rules keep, with all their columns; the model learns from the labelled rows of `labelled`.
+
+    Each text is judged where it lies, without a join.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(labelled, labels, rows).pack())
 
     @F.pandas_udf("boolean")
     def kept(text: pd.Series) -> pd.Series:

@@ -21,7 +21,7 @@ import bisect
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, table
+from .common import keyed, materialize, row_key, spread, table
 
 BLOCKS = 4096
 #: Capacities that one pass tests.
@@ -83,9 +83,9 @@ def minimax_cuts(groups: DataFrame, starts: list[tuple[int, int]], total: int, l
 
 
 def shard(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (from 0, gapless in each shard) and the group's key, for doc_id and text."""
+    """doc_id, size, text_crc32, shard, slot (from 0, gapless in each shard) the group's key and row_key, for doc_id and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_md5"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_md5"), row_key(docs).alias("row_key"))
     rows = materialize(rows.withColumn("block", F.pmod(F.conv(F.substring("text_md5", 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int")), "sizes")
     groups = rows.groupBy("block", "text_md5").agg(F.sum("size").alias("size"))
     run = Window.partitionBy("block").orderBy("text_md5")
@@ -111,8 +111,15 @@ def with_slots(placed: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     placed = materialize(placed.join(many, F.col("block") == F.col("b")).drop("b").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts"), "placed")
     before = Window.partitionBy("shard").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "block", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("shard", "block", "part").orderBy("text_md5", "doc_id")) - 1
-    return placed.withColumn("inside", inside).join(counts, ["shard", "block", "part"]).select("doc_id", "size", "text_crc32", "text_md5", "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
+    inside = F.row_number().over(Window.partitionBy("shard", "block", "part").orderBy("text_md5", "doc_id", "row_key")) - 1
+    return placed.withColumn("inside", inside).join(counts, ["shard", "block", "part"]).select("doc_id", "size", "text_crc32", "text_md5", "row_key", "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
+
+
+def sharded_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """docs with shard and slot, in place of columns of these names."""
+    plan = shard(docs, shards).groupBy("row_key").agg(F.collect_list(F.struct("shard", "slot")).alias("items"))
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    return spread(keyed(docs), plan).select(*kept, F.col("__item.shard").alias("shard"), F.col("__item.slot").alias("slot"))
 
 
 def op7_shard(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import table, texts
+from .quality_rules import one_text_each
 from .text import chunked, shingle_sets
 
 #: Labelled rows that the model is fitted on, at most.
@@ -199,7 +200,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     """(doc_id, text, label) of the labelled documents trained on."""
     usable = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id").limit(rows)
-    return texts(docs).join(F.broadcast(chosen), "doc_id")  # `rows` bounds the broadcast
+    return one_text_each(texts(docs).join(F.broadcast(chosen), "doc_id"))  # `rows` bounds the broadcast
 
 
 def _fit_group(group: pd.DataFrame) -> pd.DataFrame:
