@@ -43,7 +43,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _classes() -> np.ndarray:
+def character_classes() -> np.ndarray:
+    """The class of every code point."""
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
     out[WHITE] = BLANK
@@ -58,6 +59,35 @@ def _byte_alphabet() -> dict[str, int]:
     return {**{chr(b): b for b in visible}, **{chr(256 + k): b for k, b in enumerate(hidden)}}
 
 
+def split_words(chars: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """First and last + 1 of the words that byte-level BPE encodes apart, for texts after each other.
+
+    Also the places one character into a contraction of three, which a shorter text would split there.
+    """
+    n = len(chars)
+    white = kind >= BLANK
+    head, tail = np.zeros(n, bool), np.zeros(n, bool)
+    filled = bounds[1:] > bounds[:-1]
+    head[bounds[:-1][filled]] = True
+    tail[bounds[1:][filled] - 1] = True
+    prev_white, prev_kind = np.concatenate([[False], white[:-1]]), np.concatenate([[OTHER], kind[:-1]])
+    next_word = np.concatenate([~white[1:], [False]]) & ~tail
+    start = np.where(white, ~prev_white | next_word, np.where(prev_white, prev_kind == BLANK, prev_kind != kind)) | head
+    broken = []
+    padded = np.concatenate([chars, [0, 0]])
+    for q in np.flatnonzero((chars == 39) & start & ~tail).tolist():
+        one, two = chr(padded[q + 1]), "" if tail[q + 1] else chr(padded[q + 2])
+        size = 2 if one in SHORT_CONTRACTIONS else 3 if one + two in LONG_CONTRACTIONS else 0
+        if size:
+            start[q + 1 : q + size] = False
+            if q + size < n:
+                start[q + size] = True
+            if size == 3:
+                broken.append(q + 1)
+    first = np.flatnonzero(start)
+    return first, np.concatenate([first[1:], [n]]), broken
+
+
 class PrefixTokenizer:
     """Counts for every prefix. Tokens are numbered by rank: bytes first, then merges in order."""
 
@@ -101,7 +131,7 @@ class PrefixTokenizer:
         for k in merged:  # a token made of one that BPE would never leave whole isn't reached either
             alone[k] &= alone[self.left[k]] and alone[self.right[k]]
         self.alone = alone
-        self.kinds = _classes()
+        self.kinds = character_classes()
         self.reset()
 
     def reset(self) -> None:
@@ -204,31 +234,11 @@ class PrefixTokenizer:
         if not n:
             return np.empty(0, np.int32), bounds
         kind = self.kinds[chars]
+        first, stop, broken = split_words(chars, kind, bounds)
+        tail = np.zeros(n, bool)
+        tail[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
         white = kind >= BLANK
-        head, tail = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-        filled = bounds[1:] > bounds[:-1]
-        head[bounds[:-1][filled]] = True
-        tail[bounds[1:][filled] - 1] = True
-        head, tail = head[:n], tail[:n]
-        prev_white, prev_kind = np.concatenate([[False], white[:-1]]), np.concatenate([[OTHER], kind[:-1]])
-        next_word = np.concatenate([~white[1:], [False]]) & ~tail
-        start = np.where(white, ~prev_white | next_word, np.where(prev_white, prev_kind == BLANK, prev_kind != kind)) | head
-        quotes = np.flatnonzero((chars == 39) & start & ~tail)
-        broken = []
-        if quotes.size:
-            padded = np.concatenate([chars, [0, 0]])
-            for q in quotes.tolist():
-                one, two = chr(padded[q + 1]), "" if tail[q + 1] else chr(padded[q + 2])
-                size = 2 if one in SHORT_CONTRACTIONS else 3 if one + two in LONG_CONTRACTIONS else 0
-                if size:
-                    start[q + 1 : q + size] = False
-                    if q + size < n:
-                        start[q + size] = True
-                    if size == 3:
-                        broken.append(q + 1)
-        first = np.flatnonzero(start)
-        word = np.cumsum(start) - 1
-        stop = np.concatenate([first[1:], [n]])
+        word = np.repeat(np.arange(len(first)), stop - first)
         # white space before a word keeps its last character out; a prefix that ends there has the whole run as one
         run = white[stop - 1] & ~tail[stop - 1] & np.concatenate([white, [False]])[stop]
         wide = (1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)).astype(np.int64)
