@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing, quality_rules, repeat_index, sharding, token_counts, toxicity
+from . import decontamination, jaccard_join, mixing, packing, passages, quality_rules, repeat_index, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_mix_sources": (mixing.op1_mix_sources, None),
     "op2_token_counts": (token_counts.op2_token_counts, None),
+    "op3_passages": (passages.op3_passages, None),
+    "op4_pack": (packing.op4_pack, None),
     "op5_jaccard_join": (jaccard_join.op5_jaccard_join, None),
     "op6_quality_rules": (quality_rules.op6_quality_rules, None),
     "op7_shard": (sharding.op7_shard, None),
