@@ -1,54 +1,59 @@
 """Detection and classification quality.
 
-Curves need running totals over all scores. Rows are first counted per distinct score; the
-distinct scores are then cut into ordered parts of bounded size, so that no window ever runs
-in one task over the whole table.
+Curves need running totals over all scores. Rows are first counted per distinct score; the distinct scores are then cut
+at approximate quantiles into ordered parts of about equal size, however the scores crowd, so that no window ever runs
+in one task over the whole table. All detection measures follow from one such table, in one pass over the rows.
+
+Rows without a score take no part.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..fixed import ALERT_BUDGET, LABELS, RISK_BINS, RISK_THRESHOLD
+from ..fixed import ALERT_BUDGET, HOUR, LABELS, RISK_BINS, RISK_THRESHOLD
 
-PARTS = 4096
-PART_ROWS = 1_000_000
+#: Parts on each of two levels: values are cut into GROUPS * GROUPS parts.
+GROUPS = 32
 
 
 def running_totals(
-    counts: DataFrame,
-    value: str,
-    columns: list[str],
-    low=0.0,
-    high=1.0,
-    descending: bool = False,
-    part_rows: int = PART_ROWS,
+    counts: DataFrame, value: str, columns: list[str], descending: bool = False, groups: int = GROUPS
 ) -> DataFrame:
-    """Add inclusive running totals `cum_*` over the order of a distinct `value`.
+    """Add inclusive running totals `cum_*` over the order of a distinct `value`, and the totals `all_*`.
 
-    The span low..high is cut into equal parts, and a part with more than `part_rows` values
-    into smaller ones. Part totals (a few thousand rows) give each part its starting point.
+    The values are cut into groups * groups parts. Part totals (a thousand rows) give each part its starting point.
     """
-    low, high = (x if isinstance(x, Column) else F.lit(float(x)) for x in (low, high))
-    scaled = (F.col(value) - low) / F.greatest(high - low, F.lit(1e-300)) * PARTS
-    placed = counts.withColumn("_at", F.greatest(F.lit(0.0), F.least(F.lit(float(PARTS)), scaled)))
-    placed = placed.withColumn("_part", F.floor("_at"))
-    sizes = placed.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_split"))
-    placed = placed.join(F.broadcast(sizes), "_part").withColumn(
-        "_sub", F.least(F.floor((F.col("_at") - F.col("_part")) * F.col("_split")), F.col("_split") - 1)
-    )
-    order = [F.desc(c) if descending else F.asc(c) for c in ("_part", "_sub")]
-    ahead = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    steps = groups * groups
+    shares = [i / steps for i in range(1, steps)]
+    cuts = counts.agg(F.percentile_approx(value, shares, 20 * steps).alias("c")).scalar()
+    placed = counts.withColumn("_cuts", cuts)
+    # which group of cuts a value lies behind, and how many cuts of that group
+    ends = F.transform(F.sequence(F.lit(1), F.lit(groups - 1)), lambda g: F.get("_cuts", g * groups - 1))
+    group = F.size(F.filter(ends, lambda c: c < F.col(value)))
+    placed = placed.withColumn("_group", group)
+    own = F.slice("_cuts", F.col("_group") * groups + 1, F.lit(groups - 1))
+    part = F.col("_group") * groups + F.size(F.filter(own, lambda c: c < F.col(value)))
+    placed = placed.withColumn("_part", part).drop("_cuts", "_group")
+    order = F.desc("_part") if descending else F.asc("_part")
+    ahead = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
     starts = (
-        placed.groupBy("_part", "_sub")
+        placed.groupBy("_part")
         .agg(*[F.sum(c).alias(c) for c in columns])
-        .select("_part", "_sub", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_start_{c}") for c in columns])
+        .select(
+            F.col("_part"),
+            *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_start_{c}") for c in columns],
+            *[F.sum(c).over(whole).alias(f"all_{c}") for c in columns],
+        )
     )
-    inside = Window.partitionBy("_part", "_sub").orderBy(F.desc(value) if descending else F.asc(value))
+    inside = Window.partitionBy("_part").orderBy(F.desc(value) if descending else F.asc(value))
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.select("*", *[F.sum(c).over(inside).alias(f"_in_{c}") for c in columns])
-    return summed.join(F.broadcast(starts), ["_part", "_sub"]).select(
-        *counts.columns, *[(F.col(f"_start_{c}") + F.col(f"_in_{c}")).alias(f"cum_{c}") for c in columns]
+    return summed.join(starts, "_part").select(
+        *counts.columns,
+        *[(F.col(f"_start_{c}") + F.col(f"_in_{c}")).alias(f"cum_{c}") for c in columns],
+        *[F.col(f"all_{c}") for c in columns],
     )
 
 
@@ -56,28 +61,38 @@ def count_values(df: DataFrame, value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, low=0.0, high=1.0) -> DataFrame:
+def _quantile_ends(q: float, value: str, upto: Column, total: Column, *carried: str) -> tuple[Column, Column, Column]:
+    """Aggregates over running totals: the structs at the ranks around the quantile, and the share between them."""
+    spot = (total - 1).cast("double") * F.lit(float(q))
+    item = F.struct(value, *carried)
+    return F.min(F.when(upto > F.floor(spot), item)), F.min(F.when(upto > F.ceil(spot), item)), F.max(spot - F.floor(spot))
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     """One row `quantile`: linear interpolation between the two nearest ranks."""
-    counts = count_values(df, value)
-    total = counts.agg((F.sum("n") - 1).cast("double").alias("n")).scalar()
-    spot = total * F.lit(float(q))
-    running = running_totals(counts, value, ["n"], low, high)
-    ranks = running.agg(
-        F.min(F.when(F.col("cum_n") > F.floor(spot), F.col(value))).alias("below"),
-        F.min(F.when(F.col("cum_n") > F.ceil(spot), F.col(value))).alias("above"),
-    )
-    share = spot - F.floor(spot)
-    return ranks.select((F.col("below") + (F.col("above") - F.col("below")) * share).alias("quantile"))
+    running = running_totals(count_values(df, value), value, ["n"])
+    below, above, share = _quantile_ends(q, value, F.col("cum_n"), F.col("all_n"))
+    ends = running.agg(below.alias("below"), above.alias("above"), share.alias("share"))
+    low, high = F.col(f"below.{value}"), F.col(f"above.{value}")
+    return ends.select((low + (high - low) * F.col("share")).alias("quantile"))
 
 
 def time_split(df: DataFrame, test_share: float = 0.2, time: str = "timestamp") -> DataFrame:
-    """Add `is_test`: the latest share of rows. Rows at the cutting time go to the test part."""
+    """Add `is_test`: the latest share of rows. Rows at the cutting time go to the test part.
+
+    Rows are counted per hour, and only those of the hour where the cut falls per microsecond.
+    """
     rows = df.withColumn("_us", F.unix_micros(time))
-    span = rows.agg(F.min("_us").alias("low"), F.max("_us").alias("high"))
-    counts = count_values(rows, "_us")
-    first_test = counts.agg(F.floor(F.sum("n") * F.lit(1.0 - test_share)).alias("n")).scalar()
-    running = running_totals(counts, "_us", ["n"], span.select("low").scalar(), span.select("high").scalar())
-    cut = running.agg(F.min(F.when(F.col("cum_n") > first_test, F.col("_us"))).alias("cut")).scalar()
+    known = rows.where(F.col("_us").isNotNull()).select("_us")
+    hourly = known.groupBy(F.floor(F.col("_us") / HOUR).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    running = running_totals(hourly, "hour", ["n"])
+    first_test = F.floor(F.col("all_n") * F.lit(1.0 - test_share))
+    found = running.agg(
+        F.min(F.when(F.col("cum_n") > first_test, F.struct("hour", (first_test - F.col("cum_n") + F.col("n")).alias("skip")))).alias("x")
+    )
+    hour, skip = found.select("x.hour").scalar(), found.select("x.skip").scalar()
+    inside = known.where(F.floor(F.col("_us") / HOUR) == hour).groupBy("_us").agg(F.count(F.lit(1)).alias("n"))
+    cut = running_totals(inside, "_us", ["n"]).agg(F.min(F.when(F.col("cum_n") > skip, F.col("_us"))).alias("cut")).scalar()
     return rows.withColumn("is_test", F.col("_us") >= cut).drop("_us")
 
 
@@ -105,91 +120,108 @@ def binary_quality(scored: DataFrame, truth: str = "y_true", predicted: str = "y
 def score_counts(scored: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
     """Positives and negatives per distinct score."""
     y = F.col(truth) == 1
-    return scored.groupBy(F.col(score).alias("score")).agg(_tally(y, "pos"), _tally(~y, "neg"))
+    known = scored.where(F.col(score).isNotNull())
+    return known.groupBy(F.col(score).alias("score")).agg(_tally(y, "pos"), _tally(~y, "neg"))
+
+
+def _curve(scored: DataFrame, score: str, truth: str) -> DataFrame:
+    """Positives and negatives at or above each distinct score, and of all."""
+    return running_totals(score_counts(scored, score, truth), "score", ["pos", "neg"], descending=True)
+
+
+def _sides() -> tuple[Column, Column]:
+    """All positives and negatives, as aggregates over the curve."""
+    return F.max("all_pos"), F.max("all_neg")
+
+
+def _auc() -> Column:
+    """An aggregate over the curve; wins against negatives below, ties counting half."""
+    pos, neg = _sides()
+    wins = F.col("pos") * (F.col("all_neg") - F.col("cum_neg") + F.col("neg") / 2)
+    return F.coalesce(_ratio(F.sum(wins), pos.cast("double") * neg), F.lit(0.0))
 
 
-def _totals(counts: DataFrame) -> tuple[Column, Column]:
-    return tuple(counts.agg(F.sum(c).alias(c)).scalar() for c in ("pos", "neg"))
+def _precision_area() -> Column:
+    pos, neg = _sides()
+    gain = F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    return F.coalesce(F.when((pos > 0) & (neg > 0), F.sum(gain) / pos), F.lit(0.0))
 
 
 def auc_roc(scored: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
     """Chance that a positive outranks a negative, ties counting half; 0 with one class only."""
-    counts = score_counts(scored, score, truth)
-    wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
-    sums = running_totals(counts, "score", ["neg"]).agg(
-        F.sum(wins).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
-    return sums.select(_ratio(F.col("wins"), F.col("pos").cast("double") * F.col("neg")).alias("auc_roc"))
+    return _curve(scored, score, truth).agg(_auc().alias("auc_roc"))
 
 
 def average_precision(scored: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
     """Step-wise area under precision over recall; 0 with one class only."""
-    counts = score_counts(scored, score, truth)
-    gain = F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    sums = running_totals(counts, "score", ["pos", "neg"], descending=True).agg(
-        F.sum(gain).alias("gain"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
-    both = (F.col("pos") > 0) & (F.col("neg") > 0)
-    return sums.select(F.when(both, F.col("gain") / F.col("pos")).otherwise(F.lit(0.0)).alias("auc_pr"))
+    return _curve(scored, score, truth).agg(_precision_area().alias("auc_pr"))
 
 
 def roc_points(scored: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
     """False and true positive rate at each distinct score taken as threshold."""
-    counts = score_counts(scored, score, truth)
-    pos, neg = _totals(counts)
-    return running_totals(counts, "score", ["pos", "neg"], descending=True).select(
+    return _curve(scored, score, truth).select(
         F.col("score").alias("threshold"),
-        _ratio(F.col("cum_neg"), neg).alias("fpr"),
-        _ratio(F.col("cum_pos"), pos).alias("tpr"),
+        _ratio(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
+        _ratio(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
     )
 
 
 def pr_points(scored: DataFrame, score: str = "score", truth: str = "y_true") -> DataFrame:
     """Precision and recall at each distinct score taken as threshold."""
-    counts = score_counts(scored, score, truth)
-    pos, _ = _totals(counts)
-    return running_totals(counts, "score", ["pos", "neg"], descending=True).select(
+    return _curve(scored, score, truth).select(
         F.col("score").alias("threshold"),
         _ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
-        _ratio(F.col("cum_pos"), pos).alias("recall"),
+        _ratio(F.col("cum_pos"), F.col("all_pos")).alias("recall"),
     )
 
 
 def flag_budget(scored: DataFrame, score: str = "score", budget: float = ALERT_BUDGET) -> DataFrame:
-    """Add `in_budget`: the score reaches the quantile that leaves the budgeted share."""
+    """Add `in_budget`: the score reaches the quantile that leaves the budgeted share; null without a score."""
     threshold = exact_quantile(scored, score, 1.0 - budget).scalar()
     return scored.withColumn("in_budget", (F.col(score) >= threshold).cast("int"))
 
 
+def _budget_ends(budget: float) -> dict[str, Column]:
+    """Aggregates over the curve that say how many negatives reach the budget's quantile."""
+    total = F.col("all_pos") + F.col("all_neg")
+    upto = total - F.col("cum_pos") - F.col("cum_neg") + F.col("pos") + F.col("neg")
+    below, above, share = _quantile_ends(1.0 - budget, "score", upto, total, "cum_neg")
+    return {"below": below, "above": above, "share": share, "negatives": _sides()[1]}
+
+
+def _budget_rate() -> Column:
+    """No score lies between the two ends, so the threshold is reached from the upper one, or from both if they meet."""
+    low, high = F.col("below.score"), F.col("above.score")
+    reached = F.when(low + (high - low) * F.col("share") <= low, F.col("below.cum_neg")).otherwise(F.col("above.cum_neg"))
+    return F.coalesce(_ratio(reached, F.col("negatives")), F.lit(0.0))
+
+
 def fpr_at_budget(
     scored: DataFrame, score: str = "score", truth: str = "y_true", budget: float = ALERT_BUDGET
 ) -> DataFrame:
-    negative = F.col(truth) != 1
-    fp, tn = F.col("fp"), F.col("tn")
-    return (
-        flag_budget(scored, score, budget)
-        .agg(
-            _tally(negative & (F.col("in_budget") == 1), "fp"),
-            _tally(negative & (F.col("in_budget") == 0), "tn"),
-        )
-        .select(_ratio(fp, fp + tn).alias("fpr_at_1_percent_budget"))
-    )
+    ends = _curve(scored, score, truth).agg(*[c.alias(n) for n, c in _budget_ends(budget).items()])
+    return ends.select(_budget_rate().alias("fpr_at_1_percent_budget"))
 
 
 def flag_risk(scored: DataFrame, score: str = "score", threshold: float = RISK_THRESHOLD) -> DataFrame:
     return scored.withColumn("y_pred", (F.col(score) > threshold).cast("int"))
 
 
-def evaluate_detection(scored: DataFrame, score: str = "score") -> DataFrame:
-    """All detection measures in one row; columns y_true, y_pred and a score."""
-    parts = [
-        binary_quality(scored),
-        auc_roc(scored, score),
-        average_precision(scored, score),
-        fpr_at_budget(scored, score),
-    ]
-    first, *others = parts
-    return first.withColumns({part.columns[0]: part.scalar() for part in others})
+def evaluate_detection(scored: DataFrame, score: str = "score", budget: float = ALERT_BUDGET) -> DataFrame:
+    """All detection measures in one row, from counts per distinct score; columns y_true, y_pred and a score."""
+    y, p = F.col("y_true") == 1, F.col("y_pred") == 1
+    counts = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
+        _tally(y, "pos"), _tally(~y, "neg"), _tally(y & p, "hit"), _tally(~y & p, "miss")
+    )
+    ends = running_totals(counts, "score", ["pos", "neg"], descending=True).agg(
+        F.sum("hit").alias("tp"), F.sum("miss").alias("fp"), (_sides()[0] - F.sum("hit")).alias("fn"),
+        _auc().alias("auc_roc"), _precision_area().alias("auc_pr"), *[c.alias(n) for n, c in _budget_ends(budget).items()],
+    )
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return ends.select(
+        _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"), _f1(tp, fp, fn).alias("f1"),
+        "auc_roc", "auc_pr", _budget_rate().alias("fpr_at_1_percent_budget"),
+    )
 
 
 def confusion_counts(scored: DataFrame, truth: str = "label", predicted: str = "pred_label") -> DataFrame:
@@ -244,9 +276,9 @@ def class_summary(scored: DataFrame, truth: str = "label", predicted: str = "pre
 
 
 def score_histogram(df: DataFrame, score: str, by: list[str] = (), bins: int = RISK_BINS) -> DataFrame:
-    """Equal bins over 0..1; a score of 1 belongs to the last."""
+    """Equal bins over 0..1; a score of 1 belongs to the last. Rows without a score are in no bin."""
     spot = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
-    return df.groupBy(*by, spot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return df.where(F.col(score).isNotNull()).groupBy(*by, spot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def metrics_json(detection: DataFrame, classes: DataFrame, summary: DataFrame, counts: DataFrame) -> DataFrame:
