@@ -13,21 +13,17 @@ def attach_truth(features: DataFrame, truth: DataFrame) -> DataFrame:
     return features.join(truth.select("event_id", "label"), "event_id")
 
 
-def build_alerts(features: DataFrame, scored: DataFrame, reasons: DataFrame) -> DataFrame:
-    """One alert row per event: ids, truth, score, predicted class, reason and features."""
-    return (
-        features.join(scored.select("event_id", "true_label", "risk_score", "predicted_attack_type"), "event_id")
-        .join(reasons.select("event_id", "top_reason"), "event_id")
-        .select(
-            "event_id",
-            "entity_id",
-            "timestamp",
-            "true_label",
-            "risk_score",
-            "predicted_attack_type",
-            "top_reason",
-            *FEATURES,
-        )
+def build_alerts(scored: DataFrame) -> DataFrame:
+    """One alert row per scored event: ids, truth, score, predicted class, reason and features, by projection."""
+    return scored.select(
+        "event_id",
+        "entity_id",
+        "timestamp",
+        "true_label",
+        "risk_score",
+        "predicted_attack_type",
+        "top_reason",
+        *FEATURES,
     )
 
 
@@ -48,8 +44,9 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    """The class table has one row per label, so it is broadcast."""
-    return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
+    """Add `weight`; rows without a label are a class of their own."""
+    weights = class_weights(df, label).select(F.col(label).alias("_class"), "weight")
+    return df.join(weights, F.col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
 
 
 def risk_summary(alerts: DataFrame) -> DataFrame:
@@ -187,5 +184,5 @@ def overlap(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def stable_order(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Shuffle that is the same for the same seed, however the rows are partitioned."""
-    return df.orderBy(F.xxhash64("event_id", F.lit(seed)), "event_id")
+    """Shuffle that is the same for the same seed, however the rows are partitioned and whichever engine runs it."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col("event_id").cast("string"), F.lit(str(seed)))), "event_id")

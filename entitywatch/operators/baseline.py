@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import command_tokens, parse_geo
+from ..session import materialize
 
 KINDS = ("resource", "device", "command")
 
@@ -51,15 +52,27 @@ def most_common(log: DataFrame, value, key: str = "entity_id", name: str = "valu
 
 
 def usual_places(log: DataFrame) -> DataFrame:
-    """Usual position and auth method per entity."""
+    """Usual position and auth method per entity, in one pass: the most frequent, ties to the smallest."""
     geo = parse_geo("geo_location")
-    place = most_common(log, F.when(geo.isNotNull(), F.struct(geo["lat"].alias("lat"), geo["lon"].alias("lon"))))
-    auth = most_common(log, F.col("auth_method"), name="home_auth")
-    return place.join(auth, "entity_id", "full").select(
+    votes = F.array(
+        F.struct(geo["lat"].alias("lat"), geo["lon"].alias("lon"), F.lit(None).cast("string").alias("auth")),
+        F.struct(F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.col("auth_method").alias("auth")),
+    )
+    counts = (
+        log.select("entity_id", F.inline(votes))
+        .filter("lat IS NOT NULL OR auth IS NOT NULL")
+        .groupBy("entity_id", "lat", "lon", "auth")
+        .agg((-F.count(F.lit(1))).alias("_n"))
+    )
+    best = counts.groupBy("entity_id").agg(
+        F.min(F.when(F.col("auth").isNull(), F.struct("_n", "lat", "lon"))).alias("_place"),
+        F.min(F.when(F.col("auth").isNotNull(), F.struct("_n", "auth"))).alias("_auth"),
+    )
+    return best.select(
         "entity_id",
-        F.col("value.lat").alias("home_lat"),
-        F.col("value.lon").alias("home_lon"),
-        "home_auth",
+        F.col("_place.lat").alias("home_lat"),
+        F.col("_place.lon").alias("home_lon"),
+        F.col("_auth.auth").alias("home_auth"),
     )
 
 
@@ -69,7 +82,18 @@ def global_devices(log: DataFrame) -> DataFrame:
 
 def fit_baseline(log: DataFrame) -> Baseline:
     """Learn from one time range of the log; apply to any other."""
-    return Baseline(known_values(log), usual_places(log), global_devices(log))
+    known = known_values(log)
+    return Baseline(known, usual_places(log), _devices(known))
+
+
+def _devices(known: DataFrame) -> DataFrame:
+    return known.filter("kind = 'device'").select("value").distinct()
+
+
+def store_baseline(baseline: Baseline) -> Baseline:
+    """The baseline as tables in the shared folder, so that its log is not read again."""
+    known = materialize(baseline.known, "known")
+    return Baseline(known, materialize(baseline.homes, "homes"), _devices(known))
 
 
 def extend_known(known: DataFrame, log: DataFrame) -> DataFrame:
@@ -111,6 +135,47 @@ def device_flags(log: DataFrame, baseline: Baseline) -> DataFrame:
     return mark_unseen(pairs, everywhere, "device_fingerprint", "new_device_flag", key=None)
 
 
+def lookups(log: DataFrame, baseline: Baseline) -> DataFrame:
+    """What the baseline says of the values in a log, in one pass: a row for each distinct value of an entity.
+
+    Device rows have both device flags, command rows the share of unknown commands, resource rows (all known ones)
+    `known`; the other columns are null.
+    """
+    values = F.array(
+        F.struct(F.lit("device").alias("kind"), F.col("device_fingerprint").alias("value")),
+        F.struct(F.lit("command").alias("kind"), F.col("command_sequence").alias("value")),
+    )
+    pairs = log.select("entity_id", F.inline(values)).filter("value IS NOT NULL").distinct()
+    device = F.col("kind") == "device"
+    tokens = pairs.select("*", F.explode(F.when(device, F.array("value")).otherwise(command_tokens("value"))).alias("token"))
+    seen = baseline.known.select("entity_id", "kind", F.col("value").alias("token"), F.lit(1).alias("_seen"))
+    anywhere = baseline.devices.select(F.lit("device").alias("kind"), F.col("value").alias("token"), F.lit(1).alias("_anywhere"))
+    marked = tokens.join(seen, ["entity_id", "kind", "token"], "left").join(anywhere, ["kind", "token"], "left")
+    found = marked.groupBy("entity_id", "kind", "value").agg(
+        F.avg(F.col("_seen").isNull().cast("double")).alias("unseen"), F.max(F.col("_anywhere").isNull().cast("double")).alias("nowhere")
+    )
+    nothing = F.lit(None)
+    found = found.select(
+        "entity_id",
+        nothing.cast("string").alias("resource_accessed"),
+        F.when(device, F.col("value")).alias("device_fingerprint"),
+        F.when(~device, F.col("value")).alias("command_sequence"),
+        nothing.cast("int").alias("known"),
+        F.when(device, F.col("unseen")).alias("fingerprint_mismatch"),
+        F.when(device, F.col("nowhere")).alias("new_device_flag"),
+        F.when(~device, F.col("unseen")).alias("command_seq_novelty"),
+    )
+    resources = known_of(baseline, "resource", "resource_accessed").withColumn("known", F.lit(1))
+    return found.unionByName(resources, allowMissingColumns=True)
+
+
+LOOKED_UP = {
+    "resource_accessed": ["known"],
+    "device_fingerprint": ["fingerprint_mismatch", "new_device_flag"],
+    "command_sequence": ["command_seq_novelty"],
+}
+
+
 def duration_spread(log: DataFrame) -> DataFrame:
     return log.groupBy("entity_id").agg(
         F.avg("session_duration").alias("duration_mean"), F.stddev_samp("session_duration").alias("duration_std")

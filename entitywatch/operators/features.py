@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import functions as fn
 from ..fixed import AUTH_METHODS, DAY, ENTITY_TYPES, FEATURES, HOUR, MINUTE, SECOND, WEEK
@@ -138,9 +138,10 @@ def build_features(
 ) -> DataFrame:
     """All features per event, in vector order after the `keep` columns.
 
-    Ordinary entities need one shuffle by entity: lookups, scalars and all windows work on rows
-    that lie together. Hot entities are cut into time chunks, and their lookups are plain joins
-    that adaptive execution splits.
+    The log is read up to three times: for busy entities (unless `hot` is given), for the distinct devices and commands,
+    and for the rows. Ordinary entities need one wide shuffle, by entity: lookups, spreads and all windows work on rows
+    that lie together. Hot entities are cut into time chunks, and their lookups are plain joins that adaptive execution
+    splits. A stored baseline (`store_baseline`) isn't computed again.
     """
     keep = [c for c in keep if c in log.columns]
     fields = [
@@ -155,31 +156,36 @@ def build_features(
     if hot is None and limit is not None:
         hot = hot_keys(log, "entity_id", limit=limit)
     rows = with_failed(with_position(log.select(*dict.fromkeys([*IDS[:2], "timestamp", *keep, *fields]))))
-    tables = {
-        "resource_accessed": bl.known_of(baseline, "resource", "resource_accessed").withColumn("known", F.lit(1)),
-        "device_fingerprint": bl.device_flags(log, baseline),
-        "command_sequence": bl.command_novelty(log, baseline),
-    }
-    entity = baseline.homes.join(bl.duration_spread(log), "entity_id", "full")
+    looked = bl.lookups(log, baseline)
     wanted = dict(sums=_rolling(), mixes=VARIETY, lags=_lags(), limit=None)
 
-    def together(part: DataFrame) -> DataFrame:
-        found = _without_history(attach(part, tables).join(entity, "entity_id", "left"))
+    def together(part: DataFrame, table: DataFrame) -> DataFrame:
+        own = Window.partitionBy("entity_id")
+        found = attach(part, table, bl.LOOKED_UP).withColumns(
+            {
+                "duration_mean": F.avg("session_duration").over(own),
+                "duration_std": F.stddev_samp("session_duration").over(own),
+            }
+        )
+        found = _without_history(found.join(baseline.homes, "entity_id", "left"))
         return sweep(found, **wanted, arranged=True, keep=kept)
 
-    def joined(part: DataFrame) -> DataFrame:
-        found = sweep(part, **wanted, hot=hot).join(entity, "entity_id", "left")
-        for column, table in tables.items():
-            found = found.join(table, ["entity_id", column], "left")
+    def joined(part: DataFrame, table: DataFrame) -> DataFrame:
+        found = sweep(part, **wanted, hot=hot).join(baseline.homes, "entity_id", "left")
+        found = found.join(bl.duration_spread(part), "entity_id", "left")
+        for column, names in bl.LOOKED_UP.items():
+            values = table.filter(F.col(column).isNotNull()).select("entity_id", column, *names)
+            found = found.join(values, ["entity_id", column], "left")
         return _without_history(found)
 
     kept = [*dict.fromkeys([*keep, "timestamp", "lat", "lon"]), *WITHOUT_HISTORY]
     if hot is None:
-        found = together(rows)
+        found = together(rows, looked)
     else:
-        cold = rows.join(F.broadcast(hot), "entity_id", "left_anti")
-        split = rows.join(F.broadcast(hot), "entity_id", "left_semi")
-        found = together(cold).unionByName(joined(split), allowMissingColumns=True)
+        busy = F.broadcast(hot.select("entity_id"))
+        cold = together(rows.join(busy, "entity_id", "left_anti"), looked.join(busy, "entity_id", "left_anti"))
+        split = joined(rows.join(busy, "entity_id", "left_semi"), looked.join(busy, "entity_id", "left_semi"))
+        found = cold.unionByName(split, allowMissingColumns=True)
     return clean(_movement(found)).select(*keep, *FEATURES)
 
 

@@ -255,21 +255,19 @@ def _carry_rows(
     return carries
 
 
-def attach(df: DataFrame, tables: dict[str, DataFrame], key="entity_id") -> DataFrame:
-    """Add the columns of lookup tables, each keyed by (key, column), with one shuffle for all.
+def attach(df: DataFrame, table: DataFrame, columns: dict[str, list[str]], key="entity_id") -> DataFrame:
+    """Add columns of a lookup table, keyed by (key, column) for each of `columns`, with one shuffle for all.
 
-    Table rows travel with the rows of their key and hand their values over inside the task. A
-    join per table would shuffle the rows once for each. The result lies together by key; hot
-    keys do not belong here.
+    Table rows travel with the rows of their key and hand their values over inside the task. A join per column would
+    shuffle the rows once for each. A table row serves the columns it has values in. The result lies together by key;
+    hot keys do not belong here, in neither table.
     """
     keys = _keys(key)
     rows = df.withColumn("_looked_up", F.lit(False))
-    for column, table in tables.items():
-        rows = rows.unionByName(table.withColumn("_looked_up", F.lit(True)), allowMissingColumns=True)
-    rows = rows.repartition(*keys)
-    for column, table in tables.items():
+    rows = rows.unionByName(table.withColumn("_looked_up", F.lit(True)), allowMissingColumns=True).repartition(*keys)
+    for column, names in columns.items():
         group = Window.partitionBy(*keys, column)
-        rows = rows.withColumns({c: F.max(c).over(group) for c in table.columns if c not in (*keys, column)})
+        rows = rows.withColumns({name: F.max(name).over(group) for name in names})
     return rows.filter(~F.col("_looked_up")).drop("_looked_up")
 
 

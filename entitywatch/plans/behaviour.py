@@ -31,9 +31,12 @@ speeds AS (SELECT *, CASE WHEN waited > 0 THEN moved_km / (waited / 3600.0) ELSE
 
 
 def mix(column: str, name: str) -> str:
-    return f"""{name}_counts AS (SELECT a.event_id, b.{column} AS v, count(*) AS n FROM base a JOIN base b
-    ON a.entity_id = b.entity_id AND b.us > a.us - {DAY} AND b.us <= a.us WHERE b.{column} IS NOT NULL GROUP BY a.event_id, b.{column}),
-{name} AS (SELECT event_id, count(*) AS breadth, -sum(p * ln(p)) AS entropy FROM (
+    """Distinct count and entropy over a day, with days as equi-join key: an event looks at its day and the one before."""
+    return f"""{name}_counts AS MATERIALIZED (SELECT a.event_id, b.{column} AS v, count(*) AS n
+    FROM (SELECT event_id, entity_id, us, us // {DAY} - back AS day FROM base CROSS JOIN range(0, 2) AS r(back)) a
+    JOIN (SELECT entity_id, us, us // {DAY} AS day, {column} FROM base WHERE {column} IS NOT NULL) b
+    ON a.entity_id = b.entity_id AND a.day = b.day AND b.us > a.us - {DAY} AND b.us <= a.us GROUP BY a.event_id, b.{column}),
+{name} AS MATERIALIZED (SELECT event_id, count(*) AS breadth, -sum(p * ln(p)) AS entropy FROM (
     SELECT event_id, n / sum(n) OVER (PARTITION BY event_id) AS p FROM {name}_counts) GROUP BY event_id)"""
 
 
@@ -96,7 +99,7 @@ def rounded(names, digits: int = 6, **special: int) -> str:
 
 def feature_rows(spark, sf_dir):
     log = access_log(spark, sf_dir)
-    return ft.build_features(log, fitted(log))
+    return ft.build_features(log, stored(log))
 
 
 def labelled_features(spark, sf_dir):
@@ -106,7 +109,7 @@ def labelled_features(spark, sf_dir):
 def features(spark, sf_dir, limit=None):
     log = access_log(spark, sf_dir)
     options = {} if limit is None else {"limit": limit}
-    return tidy(ft.build_features(log, fitted(log), ["event_id", "entity_id"], **options), **KILOMETRES)
+    return tidy(ft.build_features(log, stored(log), ["event_id", "entity_id"], **options), **KILOMETRES)
 
 
 FEATURES_SQL = sql(f"SELECT event_id, entity_id, {rounded(FEATURES, **KILOMETRES)} FROM feature", *FEATURE_PARTS)
@@ -265,7 +268,8 @@ def unseen(spark, sf_dir):
     rows = bl.mark_unseen(
         log, bl.known_of(base, "resource", "resource_accessed"), "resource_accessed", "resource_novelty_score"
     )
-    rows = rows.join(bl.device_flags(log, base), ["entity_id", "device_fingerprint"])
+    rows = rows.join(bl.device_flags(log, base), ["entity_id", "device_fingerprint"], "left")
+    rows = rows.fillna(0, ["fingerprint_mismatch", "new_device_flag"])
     return tidy(rows.select("event_id", "resource_novelty_score", "fingerprint_mismatch", "new_device_flag"))
 
 
@@ -477,10 +481,13 @@ DRIFT = sql(f"""SELECT entity_id, start_us, end_us, weeks, CAST(resources AS BIG
 
 
 def alert_table(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir)
-    reasons = ex.explain_by_importance(rows, ["geo_velocity_kmh", "access_freq_24hr", "time_since_last_access_sec"])
-    built = al.build_alerts(rows, alerts(spark, sf_dir), reasons)
-    return tidy(built.drop("timestamp"), **KILOMETRES)
+    """Scores travel with the log, so the alert rows are a projection."""
+    log = scored_log(spark, sf_dir)
+    found = ["label", "pred_label", "risk_score"]
+    rows = ft.build_features(log, stored(log), ["event_id", "entity_id", "timestamp", *found])
+    rows = rows.withColumnsRenamed({"label": "true_label", "pred_label": "predicted_attack_type"})
+    told = ex.explain_by_importance(rows, ["geo_velocity_kmh", "access_freq_24hr", "time_since_last_access_sec"])
+    return tidy(al.build_alerts(told).drop("timestamp"), **KILOMETRES)
 
 
 ALERT_TABLE = sql(f"""SELECT event_id, entity_id, label AS true_label, risk_score, pred_label AS predicted_attack_type,

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..fixed import EARTH_RADIUS_KM
 from ..operators import baseline as bl
 from ..sources.derived import TRAIN_UNTIL, access_log, derivation, scored_log, train_part
 
 __all__ = [
-    "access_log", "scored_log", "train_part", "alerts", "truth", "scored", "fitted", "tidy", "sql", "haversine_sql",
-    "BASE", "TRAIN", "KNOWN", "HOMES", "SPREAD", "F", "DataFrame", "SparkSession", "TRAIN_UNTIL",
+    "access_log", "scored_log", "train_part", "alerts", "truth", "scored", "fitted", "stored", "tidy", "sql", "haversine_sql",
+    "BASE", "TRAIN", "KNOWN", "HOMES", "SPREAD", "F", "Window", "DataFrame", "SparkSession", "TRAIN_UNTIL",
 ]
 
 
@@ -48,6 +48,11 @@ def fitted(log: DataFrame) -> bl.Baseline:
     return bl.fit_baseline(train_part(log))
 
 
+def stored(log: DataFrame) -> bl.Baseline:
+    """The fitted baseline as tables, for queries that build features."""
+    return bl.store_baseline(fitted(log))
+
+
 def tidy(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Whole numbers as bigint, doubles rounded, times as microseconds, days and arrays as text."""
     out = []
@@ -75,7 +80,7 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"CASE WHEN {chord} IS NULL THEN 0.0 ELSE 2 * {EARTH_RADIUS_KM} * asin(sqrt(least(1.0, {chord}))) END"
 
 
-BASE = """base AS (SELECT l.*, epoch_us(ts) AS us, split_part(geo_location, '|', 1) AS city,
+BASE = """base AS MATERIALIZED (SELECT l.*, epoch_us(ts) AS us, split_part(geo_location, '|', 1) AS city,
   TRY_CAST(split_part(geo_location, '|', 2) AS DOUBLE) AS lat,
   TRY_CAST(split_part(geo_location, '|', 3) AS DOUBLE) AS lon,
   CASE WHEN session_duration < 2.0 THEN 1 ELSE 0 END AS failed FROM access_log l)"""
