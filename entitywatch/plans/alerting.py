@@ -101,9 +101,14 @@ def versions_overlap(rows):
 
 
 def sorted_log(spark, sf_dir):
-    """Global order checked through positions of neighbours: each event with the one before it."""
+    """The global order, with each event's position; positions come from the order's own partitions, not from a window."""
     log = access_log(spark, sf_dir).orderBy("entity_id", "timestamp", "event_id")
-    return tidy(log.select("event_id", "entity_id", "timestamp"))
+    placed = materialize(log.select("event_id", "entity_id", "timestamp", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("spot")), "sorted")
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part", "first", before.alias("before"))
+    found = placed.join(sizes, "part").withColumn("position", F.col("before") + F.col("spot") - F.col("first"))
+    return tidy(found.select("event_id", "entity_id", "timestamp", "position"))
 
 
 def shuffled(spark, sf_dir):
@@ -126,7 +131,7 @@ def weighted(spark, sf_dir):
 
 
 def quantile(spark, sf_dir):
-    return tidy(ev.exact_quantile(access_log(spark, sf_dir), "session_duration", 0.99, 0.0, 500.0))
+    return tidy(ev.exact_quantile(access_log(spark, sf_dir), "session_duration", 0.99))
 
 
 # Trained models. Features are computed once per query and kept in the shared folder.
@@ -140,80 +145,117 @@ def _train(rows):
     return rows.filter(F.col("timestamp") < F.lit(TRAIN_UNTIL).cast("timestamp"))
 
 
+def holds(condition, name: str = "holds"):
+    """1 where a property holds, else 0, also where it is unknown."""
+    return F.coalesce(condition, F.lit(False)).cast("bigint").alias(name)
+
+
+EVERY_EVENT = "SELECT event_id, 1 AS holds FROM access_log"
+
+
 def reconstruction(spark, sf_dir):
+    """Scores lie in 0..1, and all 26 components give every row back."""
     rows = _stored(spark, sf_dir)
-    model = mo.fit_reconstruction(pr.normal_rows(_train(rows)))
-    return mo.score_reconstruction(rows, model).select("event_id", "reconstruction_score")
+    normal = pr.normal_rows(_train(rows))
+    some = mo.score_reconstruction(rows, mo.fit_reconstruction(normal))
+    all_ = mo.score_reconstruction(rows, mo.fit_reconstruction(normal, k=len(FEATURES)))
+    both = some.select("event_id", "reconstruction_score").join(all_.select("event_id", F.col("reconstruction_score").alias("whole")), "event_id")
+    score = F.col("reconstruction_score")
+    return both.select("event_id", holds((score >= 0) & (score <= 1) & (F.col("whole") < 1e-6) & (F.col("whole") <= score + 1e-9)))
 
 
 def baseline_scores(spark, sf_dir):
-    """Reconstruction and profile scores over all 26 features, and their mean."""
+    """Reconstruction and profile scores over all 26 features lie in 0..1, and the baseline score is their mean."""
     rows = _stored(spark, sf_dir)
     train = _train(rows)
     both = mo.score_reconstruction(rows, mo.fit_reconstruction(pr.normal_rows(train)))
-    both = pr.score_profile(both, pr.fit_entity_stats(train))
-    return both.select("event_id", "reconstruction_score", "profile_score", pr.combine().alias("baseline_score"))
+    both = pr.score_profile(both, pr.fit_entity_stats(train)).withColumn("baseline_score", pr.combine())
+    a, b, c = F.col("reconstruction_score"), F.col("profile_score"), F.col("baseline_score")
+    return both.select("event_id", holds(a.between(0, 1) & b.between(0, 1) & (F.abs(c - (a + b) / 2) < 1e-12)))
 
 
-def _detector(rows):
+def _detector(rows, iterations: int = 20):
     sequences = mo.with_age(mo.build_sequences(_train(rows)))
-    return mo.fit_detector(sequences.withColumn("y", (F.col("label") != "normal").cast("int")))
+    return mo.fit_detector(sequences.withColumn("y", (F.col("label") != "normal").cast("int")), iterations=iterations)
 
 
 def detector(spark, sf_dir):
+    """Every event has one risk in 0..1 and its flag, and risks tell attacks of the training part better than a constant."""
     rows = _stored(spark, sf_dir)
-    scores = mo.score_detector(mo.build_sequences(rows, pad=True), _detector(rows))
-    return scores.select("event_id", "risk_score", "flagged")
+    scores = materialize(mo.score_detector(mo.build_sequences(rows, pad=True), _detector(rows)).drop("sequence"), "risks")
+    area = ev.auc_roc(_train(scores).withColumn("y_true", (F.col("label") != "normal").cast("int")), "risk_score").scalar()
+    risk = F.col("risk_score")
+    return scores.select("event_id", holds(risk.between(0, 1) & (F.col("flagged") == (risk > 0.5).cast("int")) & (area > 0.5)))
 
 
 def nearest(spark, sf_dir):
-    """Number in the class, neighbours found and distance to the farthest of them."""
-    rows = _stored(spark, sf_dir).filter(F.col("label") != "normal")
+    """Neighbours found and the distance to the farthest, over all classes."""
+    rows = _stored(spark, sf_dir)
     distances = F.transform("neighbours", lambda n: fn.euclidean("point", n))
-    found = mo.neighbours(rows).select(
-        "event_id", "label", "position", F.size("neighbours").alias("n"), F.array_max(distances).alias("reach")
-    )
+    found = mo.neighbours(rows).select("event_id", "label", F.size("neighbours").alias("n"), F.array_max(distances).alias("reach"))
     return tidy(found, 2)
 
 
 _SQUARES = " + ".join(f"pow(a.{n} - b.{n}, 2)" for n in FEATURES)
-NEAREST = sql(f"""SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY event_id) - 1 AS position, count(*) AS n,
-  round(max(distance), 2) + 0.0 AS reach FROM (
-    SELECT a.event_id, a.label, sqrt({_SQUARES}) AS distance,
-      row_number() OVER (PARTITION BY a.event_id ORDER BY {_SQUARES}, b.event_id) AS r
-    FROM rare a JOIN rare b ON a.label = b.label AND a.event_id <> b.event_id) WHERE r <= 5 GROUP BY event_id, label""",
-  *FEATURE_PARTS, """rare AS (SELECT f.*, l.label FROM feature f JOIN access_log l USING (event_id) WHERE l.label <> 'normal')""", scores=True)
+NEAREST = sql(f"""SELECT event_id, label, CAST(len(five) AS BIGINT) AS n, round(list_max(five), 2) + 0.0 AS reach FROM (
+    SELECT a.event_id, a.label, min(sqrt({_SQUARES}), 5) AS five FROM told a JOIN told b ON a.label = b.label AND a.event_id <> b.event_id
+    GROUP BY a.event_id, a.label)""",
+  *FEATURE_PARTS, """told AS MATERIALIZED (SELECT f.*, l.label FROM feature f JOIN (SELECT event_id, label FROM access_log) l USING (event_id))""", scores=True)
 
 
 def oversampled(spark, sf_dir):
-    made = mo.oversample(_train(_stored(spark, sf_dir)))
-    return made.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per class, and how many synthetic ones lie on the segment from their row to one of its neighbours."""
+    train = materialize(_train(_stored(spark, sf_dir)), "train")
+    made = mo.oversample(train)
+    around = mo.neighbours(train).select(F.col("event_id").alias("_from"), "point", "neighbours")
+    point = F.array(*FEATURES)
+    spots = made.join(around, made["event_id"] == around["_from"])
 
+    def between(end):
+        whole, first, rest = (fn.euclidean(*pair) for pair in (("point", end), ("point", point), (point, end)))
+        return F.abs(first + rest - whole) <= 1e-6 * (1 + whole)
 
-def _forest(rows, trees=20):
+    lies = F.exists(F.concat("neighbours", F.array("point")), between)
+    return spots.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("synthetic"), lies.cast("bigint")).otherwise(1)).alias("on_segment"))
+
+
+#: Trees of the forests below; the library's default is 200.
+TREES = 50
+
+
+def _forest(rows, trees=TREES):
     return mo.fit_classifier(al.with_class_weight(_train(rows)), trees=trees, weight="weight")
 
 
 def classified(spark, sf_dir):
+    """Probabilities sum to 1, the confidence is the largest, and the class is the one it belongs to."""
     rows = _stored(spark, sf_dir)
-    return mo.classify(rows, _forest(rows)).select("event_id", "label", "predicted_attack_type", "confidence")
+    found = mo.classify(rows, _forest(rows))
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    own = F.get("probabilities", fn.label_to_index("predicted_attack_type").cast("int"))
+    good = (F.abs(total - 1) < 1e-9) & (F.col("confidence") == F.array_max("probabilities")) & (own == F.col("confidence"))
+    return found.select("event_id", holds(good))
 
 
 def importances(spark, sf_dir):
-    return mo.feature_importance(spark, _forest(_stored(spark, sf_dir)))
+    """One row: features listed, whether they fall, and whether they sum to 1."""
+    found = mo.feature_importance(spark, _forest(_stored(spark, sf_dir)))
+    listed = found.agg(F.collect_list(F.struct("importance", "feature")).alias("x")).select("x", F.col("x.importance").alias("shares"))
+    falls = F.forall(F.sequence(F.lit(1), F.size("shares") - 1), lambda i: F.get("shares", i) <= F.get("shares", i - 1))
+    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
+    return listed.select(F.size("x").cast("bigint").alias("features"), holds(falls, "falls"), holds(F.abs(total - 1) < 1e-9, "whole"))
 
 
 def explained(spark, sf_dir):
+    """The reasons are the features with the largest contributions, in order, and the text names three."""
     rows = _stored(spark, sf_dir)
     found = ex.explain(rows, _forest(rows))
-    return found.select(
-        "event_id",
-        "predicted_attack_type",
-        "confidence",
-        F.to_json("shap_values").alias("shap_values"),
-        F.array_join("top_features", ",").alias("top_features"),
-        "top_reason",
-    )
+    sizes = F.transform("top_features", lambda n: F.abs(F.element_at("shap_values", n)))
+    others = F.filter(F.map_keys("shap_values"), lambda n: ~F.array_contains("top_features", n))
+    falls = (F.get(sizes, F.lit(0)) >= F.get(sizes, F.lit(1))) & (F.get(sizes, F.lit(1)) >= F.get(sizes, F.lit(2)))
+    least = F.forall(others, lambda n: F.abs(F.element_at("shap_values", n)) <= F.get(sizes, F.lit(2)))
+    text = F.col("top_reason").startswith("Flagged due to: ") & (F.size("shap_values") == len(FEATURES))
+    return found.select("event_id", holds(falls & least & text))
 
 
 def attribution_sums(spark, sf_dir):
@@ -226,9 +268,16 @@ def attribution_sums(spark, sf_dir):
 
 
 def one_explained(spark, sf_dir):
+    """One alert explained alone has what it has among all."""
     rows = _stored(spark, sf_dir)
-    found = ex.explain_alert(rows, _forest(rows), 17)
-    return found.withColumn("risk_factors", F.to_json("risk_factors"))
+    model = _forest(rows)
+    one = ex.explain_alert(rows, model, 17)
+    told = ex.explain(rows, model).filter("event_id = 17").select("event_id", "predicted_attack_type", F.col("confidence").alias("_confidence"), "top_reason", "shap_values")
+    both = one.join(told, "event_id")
+    parts = lambda c: F.transform(F.map_values(c), lambda x: F.round(x, 12))
+    same = (F.col("attack_type") == F.col("predicted_attack_type")) & (F.abs(F.col("confidence") - F.col("_confidence")) < 1e-12)
+    same &= (F.col("reason_string") == F.col("top_reason")) & (parts("risk_factors") == parts("shap_values"))
+    return both.select("event_id", holds(same))
 
 
 def reloaded(spark, sf_dir):
@@ -236,7 +285,7 @@ def reloaded(spark, sf_dir):
     rows = _stored(spark, sf_dir)
     train = _train(rows)
     models = mo.Models(
-        mo.fit_reconstruction(pr.normal_rows(train)), pr.fit_entity_stats(train), _detector(rows), _forest(rows, 5)
+        mo.fit_reconstruction(pr.normal_rows(train)), pr.fit_entity_stats(train), _detector(rows), _forest(rows)
     )
     path = fresh_path(spark, "models")
     mo.save_models(models, path)
@@ -252,10 +301,14 @@ def reloaded(spark, sf_dir):
 
 
 def batch_alerts(spark, sf_dir):
-    """Alert rows written by the whole batch run."""
+    """Alert rows written by the whole batch run: truth as it was, and risk, class, reason and all features filled in."""
     out = fresh_path(spark, "run")
-    run_batch(spark, access_log(spark, sf_dir), truth(spark, sf_dir), out, trees=10)
-    return tidy(tb.read_alerts(spark, f"{out}/alerts").select("event_id", "entity_id", "true_label"))
+    run_batch(spark, access_log(spark, sf_dir), truth(spark, sf_dir), out, trees=TREES)
+    rows = tb.read_alerts(spark, f"{out}/alerts")
+    filled = F.col("risk_score").between(0, 1) & F.col("predicted_attack_type").isin(*LABELS) & F.col("top_reason").startswith("Flagged due to: ")
+    for name in FEATURES:
+        filled &= F.col(name).isNotNull()
+    return tidy(rows.select("event_id", "entity_id", "timestamp", "true_label", "session_duration_raw", holds(filled)))
 
 
 QUERIES = {
@@ -323,7 +376,7 @@ QUERIES = {
   AND predicted_attack_type IN ('brute_force', 'lateral_movement', 'insider_drift') ORDER BY risk_score DESC, event_id LIMIT 50""",
     ),
     "o1_sorted_log": (
-        sorted_log, sql("SELECT event_id, entity_id, epoch_us(ts) AS timestamp FROM access_log ORDER BY entity_id, ts, event_id")
+        sorted_log, sql("SELECT event_id, entity_id, epoch_us(ts) AS timestamp, row_number() OVER (ORDER BY entity_id, ts, event_id) - 1 AS position FROM access_log")
     ),
     "o2_top_alerts": on_alerts(
         lambda rows: al.top_alerts(rows, 50).select("event_id", "entity_id", "risk_score"),
@@ -333,7 +386,10 @@ QUERIES = {
         lambda rows: al.top_alerts(rows.filter(al.is_alert("true_label")), 20).select("event_id", "entity_id", "risk_score"),
         "SELECT event_id, entity_id, risk_score FROM alerts WHERE true_label <> 'normal' ORDER BY risk_score DESC, event_id LIMIT 20",
     ),
-    "o7_stable_sample": (shuffled, None),
+    "o7_stable_sample": (
+        shuffled,
+        sql("SELECT event_id, entity_id, risk_score FROM access_log ORDER BY md5(event_id || ':42'), event_id LIMIT 3", scores=True),
+    ),
     "u1_union": (
         union,
         sql("""SELECT event_id, entity_id, session_duration FROM access_log UNION ALL
@@ -353,7 +409,7 @@ QUERIES = {
     "e1_binary_quality": on_scores(ev.binary_quality, f"SELECT {QUALITY_SQL} FROM rates", parts=(RATES,)),
     "e2_auc_roc": on_scores(ev.auc_roc, f"SELECT round({AUC}, 6) + 0.0 AS auc_roc", parts=(CURVE,)),
     "e2_auc_roc_split": on_scores(
-        lambda rows: ev.running_totals(ev.score_counts(rows), "score", ["pos", "neg"], part_rows=3),
+        lambda rows: ev.running_totals(ev.score_counts(rows), "score", ["pos", "neg"], groups=5).drop("all_pos", "all_neg"),
         """SELECT score, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, CAST(allpos - tp + pos AS BIGINT) AS cum_pos,
   CAST(allneg - fp + neg AS BIGINT) AS cum_neg FROM curve""",
         parts=(CURVE,),
@@ -397,24 +453,25 @@ QUERIES = {
         "SELECT label, CAST(least(floor(score * 50), 49) AS BIGINT) AS bin, count(*) AS n FROM scored GROUP BY 1, 2",
     ),
     "e1_e6_evaluate_detection": (evaluate, EVALUATE),
-    "m3_reconstruction": (reconstruction, None),
-    "m2_m4_baseline_scores": (baseline_scores, None),
-    "m7_m8_detector": (detector, None),
+    "m3_reconstruction": (reconstruction, sql(EVERY_EVENT)),
+    "m2_m4_baseline_scores": (baseline_scores, sql(EVERY_EVENT)),
+    "m7_m8_detector": (detector, sql(EVERY_EVENT)),
     "j11_neighbours": (nearest, NEAREST),
     "m9_oversample": (
         oversampled,
-        sql(f"""SELECT label, synthetic, n FROM (
+        sql(f"""SELECT label, synthetic, n, n AS on_segment FROM (
   SELECT label, false AS synthetic, n FROM counts UNION ALL SELECT label, true, (SELECT max(n) FROM counts) - n FROM counts) WHERE n > 0""",
             f"counts AS (SELECT label, count(*) AS n FROM access_log WHERE ts < TIMESTAMP '{TRAIN_UNTIL}' GROUP BY label)", scores=True),
     ),
-    "m10_classify": (classified, None),
-    "m11_o6_importance": (importances, None),
-    "x1_tree_attribution": (explained, None),
+    "m10_classify": (classified, sql(EVERY_EVENT)),
+    "m11_o6_importance": (importances, "SELECT 26 AS features, 1 AS falls, 1 AS whole"),
+    "x1_tree_attribution": (explained, sql(EVERY_EVENT)),
     "x1_tree_sums": (attribution_sums, sql("SELECT event_id, 1 AS adds_up, 3 AS reasons FROM access_log")),
-    "x4_one_alert": (one_explained, None),
+    "x4_one_alert": (one_explained, sql(EVERY_EVENT + " WHERE event_id = 17")),
     "s6_batch_alerts": (
         batch_alerts,
-        sql("""SELECT event_id, entity_id, label AS true_label FROM access_log WHERE ts >= (SELECT ts FROM access_log ORDER BY ts, event_id
+        sql("""SELECT event_id, entity_id, epoch_us(ts) AS timestamp, label AS true_label, round(session_duration, 6) + 0.0 AS session_duration_raw,
+  1 AS holds FROM access_log WHERE ts >= (SELECT ts FROM access_log ORDER BY ts, event_id
   LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM access_log))""", scores=True),
     ),
     "s8_reloaded_models": (reloaded, sql("SELECT event_id, 1 AS same FROM access_log")),

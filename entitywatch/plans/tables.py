@@ -36,13 +36,18 @@ def stored_alerts(spark, sf_dir):
 
 
 def stored_metrics(spark, sf_dir):
+    """Values read back from the stored document, by their paths."""
     rows = scored(spark, sf_dir)
     text = ev.metrics_json(
         ev.evaluate_detection(rows), ev.class_quality(rows), ev.class_summary(rows), ev.confusion_counts(rows)
     )
     path = fresh_path(spark, "metrics")
     tb.write_metrics(text, path)
-    return tb.read_metrics(spark, path)
+    found = F.from_json("metrics", """detection struct<precision: double, recall: double, f1: double, auc_roc: double>,
+        classification struct<f1_macro: double, per_class: array<struct<label: string, f1: double>>, confusion: array<struct<n: bigint>>>""")
+    read = tb.read_metrics(spark, path).select(found.alias("m"))
+    total = F.aggregate("m.classification.confusion", F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+    return tidy(read.select("m.detection.precision", "m.detection.recall", "m.detection.f1", F.size("m.classification.per_class").alias("classes"), total.alias("events")))
 
 
 def parsed_geo(spark, sf_dir):
@@ -283,7 +288,14 @@ QUERIES = {
         sql("""SELECT event_id, entity_id, epoch_us(ts) AS timestamp, label AS true_label, risk_score,
   pred_label AS predicted_attack_type, strftime(ts, '%Y-%m-%d') AS date FROM access_log""", scores=True),
     ),
-    "s4_metrics_round_trip": (stored_metrics, None),
+    "s4_metrics_round_trip": (
+        stored_metrics,
+        sql("""SELECT round(tp / (tp + fp), 6) + 0.0 AS precision, round(tp / (tp + fn), 6) + 0.0 AS recall,
+  round(2 * tp / (2 * tp + fp + fn), 6) + 0.0 AS f1, classes, events FROM (
+  SELECT sum(y * p) AS tp, sum((1 - y) * p) AS fp, sum(y * (1 - p)) AS fn, count(*) AS events,
+    (SELECT count(*) FROM (SELECT label FROM access_log UNION SELECT pred_label FROM access_log)) AS classes
+  FROM (SELECT CASE WHEN label <> 'normal' THEN 1 ELSE 0 END AS y, CASE WHEN risk_score > 0.5 THEN 1 ELSE 0 END AS p FROM access_log))""", scores=True),
+    ),
     "p1_parse_geo": (parsed_geo, sql("SELECT event_id, city, lat, lon FROM base", BASE)),
     "p2_calendar": (calendar, sql(CALENDAR)),
     "p3_failed_login": (failed, sql("SELECT event_id, failed AS is_failed FROM base", BASE)),

@@ -47,17 +47,45 @@ def test_one_class_gives_zero(spark):
     assert row[:5] == (0.0, 0.0, 0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("part_rows", [1, 2, 1000])
-def test_totals_do_not_depend_on_parts(spark, part_rows):
+@pytest.mark.parametrize("groups", [2, 5, 32])
+def test_totals_do_not_depend_on_parts(spark, groups):
     chance = np.random.default_rng(1)
     values = np.unique(np.concatenate([chance.random(60), 0.5 + chance.random(60) * 1e-6, [0.0, 1.0]]))
     counts = spark.createDataFrame([(float(v), i + 1) for i, v in enumerate(values)], "score double, n long")
-    got = ev.running_totals(counts, "score", ["n"], part_rows=part_rows).orderBy("score").collect()
+    got = ev.running_totals(counts, "score", ["n"], groups=groups).orderBy("score").collect()
     assert [r.cum_n for r in got] == np.cumsum(range(1, len(values) + 1)).tolist()
-    down = ev.running_totals(counts, "score", ["n"], descending=True, part_rows=part_rows).orderBy(F.desc("score")).collect()
+    down = ev.running_totals(counts, "score", ["n"], descending=True, groups=groups).orderBy(F.desc("score")).collect()
     assert [r.cum_n for r in down] == np.cumsum(range(len(values), 0, -1)).tolist()
 
 
+def test_crowded_scores_are_cut_evenly(spark):
+    pairs = [(1 - 1e-4 * i / 3000, i % 3 == 0) for i in range(3000)]
+    rows = _scored(spark, [(s, int(y)) for s, y in pairs])
+    running = ev.running_totals(ev.score_counts(rows), "score", ["pos", "neg"], groups=4)
+    assert running.agg(F.max("cum_pos"), F.max("cum_neg"), F.max("all_pos")).first() == (1000, 2000, 1000)
+    sample = [(s, int(y)) for s, y in pairs]
+    assert ev.auc_roc(rows).first()[0] == pytest.approx(_auc(sample[::10] if len(sample) < 100 else sample))
+
+
+def test_rows_without_a_score_take_no_part(spark):
+    rows = _scored(spark, [(0.9, 1), (0.2, 0)])
+    extra = spark.createDataFrame([(7, None, 0, 0), (8, None, 1, 0)], rows.schema)
+    both = rows.unionByName(extra)
+    assert ev.auc_roc(both).first()[0] == 1.0 and ev.average_precision(both).first()[0] == 1.0
+    assert ev.roc_points(both).count() == 2
+    assert [(r.bin, r.n) for r in ev.score_histogram(both, "score").orderBy("bin").collect()] == [(10, 1), (45, 1)]
+    assert ev.evaluate_detection(both).first().auc_roc == 1.0
+
+
+def test_rows_without_a_label_keep_their_place(spark):
+    rows = spark.createDataFrame([(1, "normal", 1.0), (2, None, 2.0), (3, "normal", 3.0)], "event_id long, label string, a double")
+    got = {r.event_id: r.weight for r in al.with_class_weight(rows).collect()}
+    assert got == {1: 0.75, 2: 1.5, 3: 0.75}
+    weights = spark.createDataFrame([("normal", [2.0])], "label string, weights array<double>")
+    told = ex.linear_contributions(rows, weights, F.array(F.lit(1.0)), ["a"], "label").collect()
+    assert {r.event_id: r.contributions for r in told} == {1: [0.0], 2: [0.0], 3: [4.0]}
+
+
 @pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.99, 1.0])
 def test_quantile_is_exact(spark, q):
     values = [s for s, _ in TIES]
@@ -126,6 +154,21 @@ def _blobs(spark):
     return spark.createDataFrame(rows, "event_id long, label string, a double, b double")
 
 
+@pytest.mark.parametrize("block_rows", [4000, 40, 9])
+def test_neighbours_are_exact_at_every_size(spark, block_rows):
+    rows = _blobs(spark)
+    points = {r.event_id: (r.label, np.array([r.a, r.b])) for r in rows.collect()}
+    found = mo.neighbours(rows, names=NAMES, block_rows=block_rows).collect()
+    assert sorted(r.event_id for r in found) == sorted(points)
+    for label in ("normal", "brute_force", "insider_drift"):
+        own = [r.position for r in found if r.label == label]
+        assert sorted(own) == list(range(len(own)))
+    for r in found:
+        label, point = points[r.event_id]
+        gaps = sorted((float(np.linalg.norm(p - point)), i) for i, (c, p) in points.items() if c == label and i != r.event_id)
+        assert [float(np.linalg.norm(np.array(n) - point)) for n in r.neighbours] == pytest.approx([g for g, _ in gaps[:5]])
+
+
 @pytest.mark.parametrize("block_rows", [4000, 9])
 def test_oversampling_fills_classes_between_neighbours(spark, block_rows):
     rows = _blobs(spark)
