@@ -219,12 +219,8 @@ def oversampled(spark, sf_dir):
     return spots.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("synthetic"), lies.cast("bigint")).otherwise(1)).alias("on_segment"))
 
 
-#: Trees of the forests below; the library's default is 200.
-TREES = 50
-
-
-def _forest(rows, trees=TREES):
-    return mo.fit_classifier(al.with_class_weight(_train(rows)), trees=trees, weight="weight")
+def _forest(rows):
+    return mo.fit_classifier(al.with_class_weight(_train(rows)), weight="weight")
 
 
 def classified(spark, sf_dir):
@@ -303,7 +299,7 @@ def reloaded(spark, sf_dir):
 def batch_alerts(spark, sf_dir):
     """Alert rows written by the whole batch run: truth as it was, and risk, class, reason and all features filled in."""
     out = fresh_path(spark, "run")
-    run_batch(spark, access_log(spark, sf_dir), truth(spark, sf_dir), out, trees=TREES)
+    run_batch(spark, access_log(spark, sf_dir), truth(spark, sf_dir), out)
     rows = tb.read_alerts(spark, f"{out}/alerts")
     filled = F.col("risk_score").between(0, 1) & F.col("predicted_attack_type").isin(*LABELS) & F.col("top_reason").startswith("Flagged due to: ")
     for name in FEATURES:

@@ -581,7 +581,85 @@ FALLBACK = sql("""SELECT event_id, 'hour_of_day,day_of_week,is_weekend' AS top_f
   CAST(hour(ts) AS VARCHAR) || ':00); access on unusual day of week; access occurred on weekend' AS top_reason FROM access_log""")
 
 
+# The same operators over all 26 features.
+
+
+def full_features(spark, sf_dir):
+    """All features with labels, which travel with the log."""
+    log = scored_log(spark, sf_dir)
+    return ft.build_features(log, stored(log), [*ft.IDS, "label", "pred_label"])
+
+
+TOLD = """told AS MATERIALIZED (SELECT f.*, l.label, l.pred_label FROM feature f JOIN (SELECT event_id, label, pred_label FROM access_log) l USING (event_id))"""
+FULL_PARTS = [*FEATURE_PARTS, TOLD]
+
+
+def full_stats(spark, sf_dir):
+    means = pr.entity_means(full_features(spark, sf_dir))
+    flat = [F.get(a, F.lit(i)).alias(f"{a}_{n}") for a in ("mean", "std") for i, n in enumerate(FEATURES)]
+    return tidy(means.select("entity_id", "events", *flat), 3)
+
+
+FULL_STATS = sql("SELECT entity_id, count(*) AS events, " + ", ".join(
+    [f"round(avg({n}), 3) + 0.0 AS mean_{n}" for n in FEATURES] + [f"round(stddev_samp({n}), 3) + 0.0 AS std_{n}" for n in FEATURES]
+) + " FROM feature GROUP BY entity_id", *FEATURE_PARTS)
+
+
+def full_covariances(spark, sf_dir):
+    """Per entity the covariances of every feature with the next, and all variances."""
+    rows = full_features(spark, sf_dir)
+    found = pr.entity_covariance(rows, pr.entity_means(rows))
+    cells = [F.get(F.get("covariance", F.lit(i)), F.lit(j)).alias(f"c_{i}_{j}") for i in range(26) for j in (i, (i + 1) % 26)]
+    return tidy(found.select("entity_id", *cells), 1)
+
+
+FULL_COVARIANCES = sql("SELECT entity_id, " + ", ".join(
+    f"round(covar_samp({FEATURES[i]}, {FEATURES[j]}), 1) + 0.0 AS c_{i}_{j}" for i in range(26) for j in (i, (i + 1) % 26)
+) + " FROM feature GROUP BY entity_id", *FEATURE_PARTS)
+
+
+def full_scaler(spark, sf_dir):
+    found = mo.fit_scaler(pr.normal_rows(full_features(spark, sf_dir)))
+    return tidy(found.select(*[F.get(a, F.lit(i)).alias(f"{a}_{n}") for a in ("mean", "std") for i, n in enumerate(FEATURES)]), 3)
+
+
+FULL_SCALER = sql("SELECT " + ", ".join([f"round(avg({n}), 3) + 0.0 AS mean_{n}" for n in FEATURES]
+  + [f"round(CASE WHEN stddev_pop({n}) > 0 THEN stddev_pop({n}) ELSE 1.0 END, 3) + 0.0 AS std_{n}" for n in FEATURES])
+  + " FROM told WHERE label = 'normal'", *FULL_PARTS, scores=True)
+
+
+def full_sequences(spark, sf_dir):
+    """Padded sequences of all features, folded to position-weighted sums."""
+    rows = mo.build_sequences(full_features(spark, sf_dir), pad=True)
+
+    def folded(place):
+        weighted = F.transform("sequence", lambda event, i: F.get(event, F.lit(place)) * (i + 1))
+        return F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x)
+
+    return tidy(rows.select("event_id", "event_number", *[folded(i).alias(n) for i, n in enumerate(FEATURES)]), 2)
+
+
+FULL_SEQUENCES = sql("SELECT a.event_id, a.rn AS event_number, " + ", ".join(f"round(sum(b.{n} * p.pos), 2) + 0.0 AS {n}" for n in FEATURES)
+  + """ FROM numbered a CROSS JOIN range(1, 11) AS p(pos) JOIN numbered b ON b.entity_id = a.entity_id AND b.rn = greatest(a.rn - 10 + p.pos, 1)
+  GROUP BY a.event_id, a.rn""", *FEATURE_PARTS, f"numbered AS MATERIALIZED (SELECT *, row_number() OVER {ORDER} AS rn FROM feature)")
+
+
+def full_cohorts(spark, sf_dir):
+    found = pr.fit_cohorts(full_features(spark, sf_dir))
+    flat = [F.get("cohort_mean", F.lit(i)).alias(f"mean_{n}") for i, n in enumerate(FEATURES)]
+    return tidy(found.select(F.coalesce("entity_type", F.lit("*")).alias("entity_type"), *flat), 3)
+
+
+FULL_COHORTS = sql("SELECT coalesce(entity_type, '*') AS entity_type, " + ", ".join(f"round(avg({n}), 3) + 0.0 AS mean_{n}" for n in FEATURES)
+  + " FROM feature GROUP BY GROUPING SETS ((entity_type), ())", *FEATURE_PARTS)
+
+
 QUERIES = {
+    "a4_entity_stats_full": (full_stats, FULL_STATS),
+    "a5_covariance_full": (full_covariances, FULL_COVARIANCES),
+    "a6_cohorts_full": (full_cohorts, FULL_COHORTS),
+    "a16_scaler_full": (full_scaler, FULL_SCALER),
+    "w9_padded_sequences_full": (full_sequences, FULL_SEQUENCES),
     "m1_features": (features, FEATURES_SQL),
     "m1_features_split": (lambda s, d: features(s, d, SPLIT), FEATURES_SQL),
     "p7_j1_labelled_features": (projection, PROJECTION),
