@@ -10,8 +10,8 @@ An index of all texts would not fit a task, so the places are found first. Every
 its K-gram of the lowest hash (the first of equals); strings with the same bytes have the same anchor, so only places
 with equal anchors are compared. Consecutive strings with one anchor form a stretch.
 
-1. Each task sends per distinct text one row for each stretch: hash of the anchor and hash of all its bytes (about
-   1 row in LENGTH / 2.6 bytes of text).
+1. Each task finds the stretches of its distinct texts (about one in LENGTH / 2.6 bytes): hash of the anchor and hash of
+   all bytes. Of stretches that occur again in the task it sends one on; these repeat anyhow.
 2. A stretch whose bytes occur twice repeats as a whole. A stretch whose anchor occurs only with other bytes around it
    is open: its bytes are fetched and indexed together with those of one stretch of each kind with that anchor.
    Anchors with very many kinds are settled by counting hashes of their strings instead, which splits and pre-aggregates.
@@ -39,10 +39,12 @@ LENGTH = 200
 K = 48
 #: Texts above this size are anchored in parts.
 PART = 4 << 20
+#: Stretches that a task gathers before it sends them on.
+FLUSH_ROWS = 500_000
 #: Kinds of stretches of one anchor that one task indexes at most.
 KINDS = 2000
 #: Bytes indexed at a time.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, k: int = K):
@@ -100,9 +102,29 @@ def _parts(texts_: list[bytes], ids: list[int], length: int) -> Iterator[tuple[l
         yield held, names
 
 
+_PLACES = ["anchor", "kind", "uid", "start", "count", "times", "settled"]
+
+
+def _settle(rows: list) -> pa.RecordBatch:
+    """Rows of a task with one for each stretch that occurs again in it set aside: it repeats, whatever other tasks have.
+
+    The first of them stands for all (times 2), so a passage of very many texts is one row for each task.
+    """
+    columns = [np.concatenate(c) for c in zip(*rows)]
+    order = np.lexsort((columns[1], columns[0]))
+    anchor, kind = columns[0][order], columns[1][order]
+    head = np.ones(len(order), bool)
+    head[1:] = (anchor[1:] != anchor[:-1]) | (kind[1:] != kind[:-1])
+    sizes = np.diff(np.append(np.flatnonzero(head), len(order)))
+    times = np.ones(len(order), np.int32)
+    times[head] = np.minimum(sizes, 2)
+    return pa.RecordBatch.from_arrays([*(pa.array(c[order]) for c in columns), pa.array(times), pa.array(~head)], _PLACES)
+
+
 def _stretch_rows(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        rows, waiting = [], 0
         for batch in batches:
             ids, held_all = batch.column("uid").to_pylist(), batch.column("text").to_pylist()
             new = [i for i, u in enumerate(ids) if u not in met and not met.add(u)]
@@ -113,31 +135,56 @@ def _stretch_rows(length: int, k: int):
                     continue
                 owner, start, count, anchor, kind = found
                 uid, offset = (np.array(x, np.int64)[owner] for x in zip(*names))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(anchor)), pa.array(signed(kind)), pa.array(uid), pa.array((start + offset).astype(np.int32)), pa.array(count.astype(np.int32))],
-                    ["anchor", "kind", "uid", "start", "count"],
-                )
+                rows.append((signed(anchor), signed(kind), uid, (start + offset).astype(np.int32), count.astype(np.int32)))
+                waiting += len(owner)
+                if waiting > FLUSH_ROWS:
+                    yield _settle(rows)
+                    rows, waiting = [], 0
+        if rows:
+            yield _settle(rows)
 
     return run
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks of the keys, and their order."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), np.int64)
+    new[0] = 0
+    sorted_ = keys[order]
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:], casting="unsafe")
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank, order
+
+
 class RunLengthIndex:
     """Run-compressed BWT of numbers that end in a distinct separator per text, with samples at run ends.
 
-    Suffixes are sorted by doubling until no two are equal (within runs, neighbours must be neighbours in full order); the
-    ranks of each step are kept to compare suffixes where runs end.
+    Suffixes are sorted by doubling until no two are equal (within runs, neighbours must be neighbours in full order), from
+    PACKED symbols at once; the ranks of each step are kept to compare suffixes where runs end.
     """
 
+    PACKED = 4
+
     def __init__(self, symbols: np.ndarray) -> None:
         n = len(symbols)
-        self.ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
-        step = 1
-        while (rank := self.ranks[-1]).max() < n - 1:
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
-            self.ranks.append(np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64))
+        bits = int(symbols.max() + 1).bit_length()
+        if bits * self.PACKED > 62:
+            raise ValueError("too many texts for one index")
+        self.text = symbols
+        key = np.zeros(n, np.int64)
+        for k in range(self.PACKED):
+            key <<= bits
+            key[: n - k] += symbols[k:] + 1
+        rank, self.order = _ranked(key)
+        self.steps, step = [(self.PACKED, rank)], self.PACKED
+        while rank[self.order[-1]] < n - 1:
+            key = rank * (n + 1)
+            key[: n - step] += rank[step:] + 1
             step *= 2
-        self.order = np.argsort(self.ranks[-1], kind="stable")
+            rank, self.order = _ranked(key)
+            self.steps.append((step, rank))
         bwt = symbols[self.order - 1]
         change = bwt[1:] != bwt[:-1]
         self.heads = np.concatenate([[0], np.flatnonzero(change) + 1])
@@ -148,12 +195,11 @@ class RunLengthIndex:
         """Length that the suffixes at a and b share."""
         n = len(self.order)
         out = np.zeros(len(a), np.int64)
-        for level in range(len(self.ranks) - 1, -1, -1):
-            rank = self.ranks[level]
+        for step, rank in [*reversed(self.steps), *[(1, self.text)] * (self.PACKED - 1)]:
             i, j = a + out, b + out
             same = (i < n) & (j < n)
             same[same] = rank[i[same]] == rank[j[same]]
-            out[same] += 1 << level
+            out[same] += step
         return out
 
     def matching_statistics(self) -> np.ndarray:
@@ -252,13 +298,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, kinds: int
     named = docs.select("doc_id", text.alias("text")).withColumn("uid", F.xxhash64("text")).withColumn("n_bytes", F.length("text").cast("long"))
     rows = materialize(named.select("doc_id", "uid", "n_bytes", F.sha2("text", 256).alias("whole_sha256")), "rows")
     long_ = named.where(f"n_bytes >= {length}").select("uid", "text")
-    places = long_.mapInArrow(_stretch_rows(length, k), "anchor long, kind long, uid long, start int, count int")
-    # one shuffle, by anchor: the windows and the aggregate below use it
-    places = places.repartition("anchor").select(
-        "*", F.expr("count(*) over (partition by anchor, kind)").alias("same"), F.expr("min(kind) over (partition by anchor)").alias("low"),
+    sent = long_.mapInArrow(_stretch_rows(length, k), "anchor long, kind long, uid long, start int, count int, times int, settled boolean")
+    sent = materialize(sent, "stretches")
+    # one shuffle, by anchor, for all windows
+    places = sent.where("not settled").repartition("anchor").select(
+        "*", F.expr("sum(times) over (partition by anchor, kind)").alias("same"), F.expr("min(kind) over (partition by anchor)").alias("low"),
         F.expr("max(kind) over (partition by anchor)").alias("high"), F.expr("row_number() over (partition by anchor, kind order by uid, start)").alias("nth"))
     places = materialize(places.where("same > 1 or low <> high").select("anchor", "kind", "uid", "start", "count", (F.col("same") > 1).alias("whole"), "nth", (F.col("low") != F.col("high")).alias("mixed")), "places")
-    spans = places.where("whole").select("uid", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("count") - 1 + length).cast("long").alias("end"))
+    end = (F.col("start") + F.col("count") - 1 + length).cast("long").alias("end")
+    spans = places.where("whole").select("uid", F.col("start").cast("long").alias("start"), end).union(sent.where("settled").select("uid", F.col("start").cast("long").alias("start"), end))
     # open stretches, and one of each other kind with their anchor
     open_ = places.where("mixed and nth = 1").select("anchor", "uid", "start", "count", "whole")
     many = open_.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("all_whole")).where("not all_whole").select("anchor", (F.col("n") > kinds).alias("many"))
@@ -272,7 +320,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, kinds: int
     strings = fetched.where("many").mapInArrow(_string_hashes(length), "uid long, start long, hash long, whole boolean")
     twice = strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     hot = strings.join(twice, "hash").where("not whole").select("uid", "start", (F.col("start") + length).alias("end"))
-    return rows, materialize(spans.union(few).union(hot).distinct(), "spans"), long_
+    return rows, materialize(spans.union(few).union(hot), "spans"), long_
 
 
 def _texts_of(long_: DataFrame, bits) -> DataFrame:
