@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..fixed import FEATURES, FOCAL_GAMMA, MIN_OVERSAMPLE_ROWS, RISK_THRESHOLD, SEQUENCE_LENGTH
 from ..functions import decay_weight, euclidean, index_to_label, label_to_index, saturate
 from ..session import materialize
-from .evaluation import time_split
+from .evaluation import auc_roc, average_precision, time_split
 from .features import feature_array
 from .windows import HOT_ROWS, trailing
 
@@ -111,12 +111,6 @@ def _vector() -> Column:
     return array_to_vector(F.flatten("sequence"))
 
 
-def validation_slice(rows: DataFrame, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(earlier rows, latest share) by time, for judging a detector on what it has not seen."""
-    split = time_split(rows, share)
-    return split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test").drop("is_test")
-
-
 def fit_detector(sequences: DataFrame, label: str = "y", iterations: int = 20) -> LogisticRegressionModel:
     """Two passes: the first weighted by decay, the second also by how hard each row was.
 
@@ -150,6 +144,20 @@ def score_detector(
     ).drop("x", "rawPrediction", "probability", "prediction")
 
 
+def validation_slice(rows: DataFrame, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(earlier rows, latest share) by time, for judging a detector on what it has not seen."""
+    split = time_split(rows, share)
+    return split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test").drop("is_test")
+
+
+def validate_detector(sequences: DataFrame, label: str = "y", share: float = 0.1) -> DataFrame:
+    """One row: ranking quality on the latest rows of a detector that learned from the earlier ones."""
+    earlier, latest = validation_slice(sequences, share)
+    scored = score_detector(latest, fit_detector(earlier, label))
+    area = average_precision(scored, "risk_score", label).scalar()
+    return auc_roc(scored, "risk_score", label).withColumn("auc_pr", area)
+
+
 _BEST = "array<struct<gap: double, event_id: bigint, point: array<double>>>"
 CUTS = 1024
 

@@ -55,8 +55,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_MADE: list[str] = []
+
+
 def materialize(df, label: str):
-    """Write a table below the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a table below the shared folder and read it back: cuts lineage, survives lost executors.
+
+    `release` removes such tables when nothing reads them any more.
+    """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that `materialize` made so far; to be called when all results that need them are written."""
+    count = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count

@@ -1,5 +1,7 @@
 """Evaluation, alerts, models, explanations and storage."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from entitywatch.operators import evaluation as ev
 from entitywatch.operators import explain as ex
 from entitywatch.operators import lookups as lk
 from entitywatch.operators import models as mo
-from entitywatch.session import fresh_path
+from entitywatch.session import fresh_path, materialize, release
 from entitywatch.sources import tables as tb
 
 TIES = [(0.9, 1), (0.9, 0), (0.8, 1), (0.5, 0), (0.5, 1), (0.5, 0), (0.2, 0), (0.2, 0), (0.1, 1), (0.0, 0)]
@@ -215,6 +217,24 @@ def test_detector_finds_a_planted_signal(spark, make_log):
     assert ev.auc_roc(scored, "risk_score", "y").first()[0] > 0.95
 
 
+def test_validation_looks_at_the_latest_rows(spark, make_log):
+    events = [{"at": i * 60 + e, "event_id": e * 100 + i, "entity_id": f"usr_{e}"} for e in range(6) for i in range(80)]
+    rows = make_log(*events).withColumn("y", (F.col("event_id") % 100 % 7 == 0).cast("int"))
+    rows = rows.withColumns({name: F.lit(1.0) for name in FEATURES}).withColumn(FEATURES[0], F.col("y") * 2.0)
+    sequences = mo.with_age(mo.build_sequences(rows))
+    earlier, latest = mo.validation_slice(sequences, 0.1)
+    assert earlier.agg(F.max("timestamp")).first()[0] < latest.agg(F.min("timestamp")).first()[0]
+    assert 0 < latest.count() <= 0.11 * sequences.count()
+    row = mo.validate_detector(sequences).first()
+    assert row.auc_roc > 0.95 and row.auc_pr > 0.9
+
+
+def test_intermediate_tables_can_be_released(spark):
+    table = materialize(spark.range(3), "some")
+    path = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(path) and release(spark) >= 1 and not os.path.exists(path)
+
+
 def test_tables_survive_a_round_trip(spark, make_log):
     log = make_log({"commands": "", "geo": 'Say "hi"|1|2'}, {"commands": None, "duration": None, "at": 0.25, "resource": "a,b"})
     for fmt in ("csv", "parquet"):
