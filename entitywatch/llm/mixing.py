@@ -18,14 +18,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize, table
+from .common import keyed, materialize, row_key, spread, table
 
 #: Weights by rank of the source, repeating.
 CYCLE = (5, 2, 1)
 #: No source gives more than this many times its words.
 MOST_EPOCHS = 3
 #: Rows of a source that one range holds, about.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 5_000
 
 
 def word_count(text: Column) -> Column:
@@ -63,9 +63,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: DataFrame |
     """What the mix takes of each row of `docs` (doc_id, source, text).
 
     `quality` has (doc_id, quality_weight), `weights` (source, weight). Returns doc_id, source, text_hash, size,
-    quality_weight, source_size, target, epochs (complete ones), taken (words), sample_key.
+    quality_weight, source_size, target, epochs (complete ones), taken (words), sample_key, row_key.
     """
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), row_key(docs).alias("row_key"))
     if quality is None:
         base = base.withColumn("quality_weight", F.lit(1.0))
     else:
@@ -84,12 +84,12 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: DataFrame |
     rows = materialize(rows, "mix_rows")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words")).select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "part").orderBy(F.col("sample_key").desc(), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy(F.col("sample_key").desc(), "doc_id", "text_hash", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside")))
     taken = F.col("epochs") * F.col("size") + F.when(F.col("rest") > 0, part).otherwise(0)
-    return placed.select("doc_id", "source", "text_hash", "size", "quality_weight", "source_size", "target", "epochs", taken.cast("long").alias("taken"), "sample_key")
+    return placed.select("doc_id", "source", "text_hash", "size", "quality_weight", "source_size", "target", "epochs", taken.cast("long").alias("taken"), "sample_key", "row_key")
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -98,6 +98,25 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", weight.alias("quality_weight"))
 
 
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, weights: DataFrame | None = None, most: float = MOST_EPOCHS) -> DataFrame:
+    """The mix itself, with the columns of docs: each document as often as it is taken.
+
+    The document at the edge of a target gives its first words, joined by spaces (and n_chars, if there, counts them).
+    """
+    taken = mix(docs, quality, weights, most).where("taken > 0")
+    part = F.col("taken") - F.col("epochs") * F.col("size")
+    pieces = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.expr("array()").cast("array<bigint>")))
+    items = F.transform(pieces, lambda words: F.struct(words.alias("words"), F.col("size").alias("of")))
+    plan = taken.select("row_key", items.alias("own")).groupBy("row_key").agg(F.flatten(F.collect_list("own")).alias("items"))
+    rows = spread(keyed(docs), plan)
+    words = F.array_remove(F.split(F.translate("text", "\t\n\u000b\f\r", "     "), " ", -1), "")
+    cut = F.col("__item.words") < F.col("__item.of")
+    rows = rows.withColumn("text", F.when(cut, F.array_join(F.slice(words, 1, F.col("__item.words").cast("int")), " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)
+
+
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
