@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..fixed import ALERT_BUDGET, HOUR, LABELS, RISK_BINS, RISK_THRESHOLD
 
 #: Parts on each of two levels: values are cut into GROUPS * GROUPS parts.
-GROUPS = 32
+GROUPS = 16
 
 
 def running_totals(
@@ -22,7 +22,7 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running totals `cum_*` over the order of a distinct `value`, and the totals `all_*`.
 
-    The values are cut into groups * groups parts. Part totals (a thousand rows) give each part its starting point.
+    The values are cut into groups * groups parts. Part totals (a few hundred rows) give each part its starting point.
     """
     steps = groups * groups
     shares = [i / steps for i in range(1, steps)]
