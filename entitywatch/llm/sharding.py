@@ -83,7 +83,7 @@ def minimax_cuts(groups: DataFrame, starts: list[tuple[int, int]], total: int, l
 
 
 def shard(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (from 0, gapless in each shard) the group's key and row_key, for doc_id and text."""
+    """doc_id, size, text_crc32, shard, slot (from 0, gapless in each shard), the key of its group and row_key, for doc_id and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_md5"), row_key(docs).alias("row_key"))
     rows = materialize(rows.withColumn("block", F.pmod(F.conv(F.substring("text_md5", 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int")), "sizes")
