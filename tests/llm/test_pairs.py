@@ -200,6 +200,55 @@ def test_passages_recall(make_docs, corpus):
     assert sum(find(a) == find(b) for a, b in pairs) >= 0.97 * len(pairs) > 0
 
 
+def edited(seed, length, edits):
+    """Two texts around a passage and a copy with changed, added or left out words; the best similarity of both passages."""
+    pick = np.random.default_rng(seed)
+    passage = prose(seed, length, 2000)
+    copy = list(passage)
+    for k, at in enumerate(sorted(pick.choice(np.arange(5, length - 5), edits, replace=False).tolist(), reverse=True)):
+        copy[at : at + int(pick.integers(0, 2))] = [f"new{k}"] * int(pick.integers(0, 2))
+    one, two = prose(seed + 5000, 70, 2000) + passage + prose(seed + 6000, 40, 2000), prose(seed + 7000, 30, 2000) + copy + prose(seed + 8000, 90, 2000)
+    a, b = shingles(" ".join(passage)), shingles(" ".join(copy))
+    return " ".join(one), " ".join(two), len(a & b) / len(a | b) if min(len(passage), len(copy)) >= 50 else 0
+
+
+def test_edited_passages_are_verified():
+    """Passages of 50 to 130 words that differ by one to four words, each that is similar enough as a whole."""
+    asked = 0
+    for seed in range(400):
+        length, edits = 50 + seed % 81, 1 + seed % 4
+        one, two, similarity = edited(seed, length, edits)
+        if similarity < 0.8:
+            continue
+        asked += 1
+        mine, theirs = passages._shingles([one.encode(), two.encode()], 5)
+        found = passages.verified_passages(mine, theirs, 46, 80)
+        assert any(a <= 70 and b >= 70 + length - 4 and s >= 0.8 for a, b, _, _, s in found), (seed, length, edits, similarity)
+    assert asked > 150
+
+
+def test_passages_with_one_word_changed(make_docs):
+    """The shared passage is reported at every length, not only where one side of the change is long enough alone."""
+    lengths = [60, 70, 80, 90, 95]
+    texts, pairs = [], []
+    for k in range(40):
+        shared = prose(3000 + k, lengths[k % 5], 2000)
+        half = len(shared) // 2
+        for own in (shared, shared[:half] + ["other"] + shared[half + 1 :]):
+            texts.append(" ".join(prose(4000 + len(texts), 60, 2000) + own + prose(5000 + len(texts), 60, 2000)))
+        pairs.append((2 * k, 2 * k + 1))
+    found, classes = passages.passages(make_docs(texts))
+    ids = {r.uid: r.representative for r in classes.collect()}
+    got = {tuple(sorted((ids[r.uid], ids[r.other]))) for r in found.collect()}
+    assert got <= set(pairs) and len(got) >= 0.9 * len(pairs)
+
+
+def test_passages_side_by_side_in_one_text():
+    one, two, gap = prose(1, 60, 2000), prose(2, 70, 2000), prose(3, 80, 2000)
+    mine, theirs = passages._shingles([" ".join(one + two).encode(), " ".join(two + gap + one).encode()], 5)
+    assert sorted(r[:4] for r in passages.verified_passages(mine, theirs, 46, 80)) == [(0, 56, 150, 206), (60, 126, 0, 66)]
+
+
 def test_passages_of_odd_tables(odd_docs, no_docs):
     assert passages.passages(odd_docs)[0].where("similarity < 0.8").count() == 0
     assert passages.passages(no_docs)[0].count() == 0
