@@ -12,7 +12,8 @@ whatever the benchmark, and then joined by a shuffle, so neither table has to fi
 
 Defined results: null and empty texts match nothing; items of fewer words than a window are one window of all their
 words; windows with fewer than MIN_LITERALS plain words (or half of a short item) are not compared, so items of
-placeholders alone are not found; items with equal templates are one, reported by the smallest id with their number;
+placeholders alone are not found; items with equal templates whose slots hold equal values in the same places are one,
+reported by the smallest id with their number (a copy of any of them is consistent with that one);
 repeated rows of a document are one document; extra columns are ignored.
 """
 
@@ -137,23 +138,27 @@ _ROWS = "id long, at long, window long, kinds array<long>, slots array<long>"
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each item the hash of its whole template and its words."""
+    """For each item the hash of its whole template, that of which slots hold equal values, and its words."""
     for batch in batches:
-        whole, counts = [], []
+        whole, patterns, counts = [], [], []
         for _, held in chunked(batch.column("text").to_pylist()):
-            words, _, _, bounds = templates(held)
+            words, values, slots, bounds = templates(held)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                at = a + np.flatnonzero(slots[a:b])
+                _, first, same = np.unique(mix(values[at] + words[at]), return_index=True, return_inverse=True)
                 whole.append(int(signed(mix(window_hashes(words[a:b], b - a) + np.uint64(b - a)))[0]) if b > a else None)
+                patterns.append(int(signed(window_hashes(first[same].astype(np.uint64), len(at)))[0]) if len(at) else 0)
                 counts.append(b - a)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.int64()), pa.array(counts, pa.int64())], ["id", "whole", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(whole, pa.int64()), pa.array(patterns, pa.int64()), pa.array(counts, pa.int64())], ["id", "whole", "pattern", "n"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_items, matched_windows, item_windows, coverage, changed_slots) of documents with benchmark items."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    whole = items.mapInArrow(_whole, "id long, whole long, n long").where("n > 0 and id is not null")
-    kept = materialize(whole.groupBy("whole").agg(F.min("id").alias("item_id"), F.count("*").alias("n_items"), F.min("n").alias("n")), "items")
+    whole = items.mapInArrow(_whole, "id long, whole long, pattern long, n long").where("n > 0 and id is not null")
+    kept = materialize(whole.groupBy("whole", "pattern").agg(F.min("id").alias("item_id"), F.count("*").alias("n_items"), F.min("n").alias("n")), "items")
     sizes = sorted({WINDOW, *(r[0] for r in kept.where(F.col("n") < WINDOW).select("n").distinct().collect())})
     theirs = items.join(kept.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_emit(sizes, None), _ROWS)
     theirs = materialize(theirs.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots")).distinct(), "item_windows")

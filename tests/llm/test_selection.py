@@ -149,6 +149,19 @@ def test_inconsistent_slots_are_no_match(make_docs, spark):
     assert [r.doc_id for r in decontamination.contaminated(make_docs([good, bad]), bench).collect()] == [0]
 
 
+def test_items_of_one_template(make_docs, spark):
+    """A copy is found whichever of the items of its template it copies, and whether or not their slots hold equal values."""
+    item = "The farmer has {} red hens in the yard and then buys {} more of them from the man who sells {} every day"
+    values = [(4, 4, 7), (4, 9, 7), (5, 8, 6), (3, 3, 3)]
+    bench = spark.createDataFrame([(k, item.format(*v)) for k, v in enumerate(values)], "item_id long, text string")
+    texts = [" ".join(prose(80 + k, 30)) + ". " + item.format(*v) for k, v in enumerate(values)]
+    found = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(make_docs(texts), bench).collect()}
+    assert set(found) == {(0, 0), (1, 1), (2, 1), (3, 3)}
+    assert {r.item_id: r.n_items for r in found.values()} == {0: 1, 1: 2, 3: 1}
+    assert {k: r.changed_slots for k, r in found.items()} == {(0, 0): 0, (1, 1): 0, (2, 1): 3, (3, 3): 0}
+    assert decontamination.clean_documents(make_docs(texts), bench).count() == 0
+
+
 def test_pipeline(spark, tmp_path, make_docs):
     """Each stage against what the plain rules say of a small corpus."""
     item = " ".join(prose(40, 50))
