@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing, packing, passages, quality_rules, repeat_index, sharding, token_counts, toxicity, whitening
+from . import alignment, decontamination, jaccard_join, mixing, packing, passages, quality_rules, repeat_index, sharding, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_mix_sources": (mixing.op1_mix_sources, None),
@@ -16,4 +16,5 @@ QUERIES = {
     "op9_remove_repeats": (repeat_index.op9_remove_repeats, None),
     "op10_toxicity": (toxicity.op10_toxicity, None),
     "op11_whiten": (whitening.op11_whiten, None),
+    "op12_align_tokens": (alignment.op12_align_tokens, None),
 }
