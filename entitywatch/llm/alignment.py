@@ -22,6 +22,7 @@ an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -74,15 +75,16 @@ class _Ragged:
     def __init__(self) -> None:
         self.values, self.starts, self.used, self.rows = np.empty(1024, np.int32), np.zeros(1024, np.int64), 0, 0
 
-    def add(self, ids) -> None:
-        if self.rows + 2 > len(self.starts):
+    def extend(self, ids, ends) -> None:
+        """Rows that end at `ends` in the ids."""
+        while self.rows + len(ends) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while self.used + len(ids) > len(self.values):
             self.values = np.concatenate([self.values, np.empty_like(self.values)])
         self.values[self.used : self.used + len(ids)] = ids
+        self.starts[self.rows + 1 : self.rows + len(ends) + 1] = np.asarray(ends) + self.used
         self.used += len(ids)
-        self.rows += 1
-        self.starts[self.rows] = self.used
+        self.rows += len(ends)
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of rows `at` after each other, and their lengths."""
@@ -119,37 +121,38 @@ class Encoder:
     def _ids(self, text: str) -> tuple[list[int], list[int]]:
         return self.lib_a.encode(" " + text, add_special_tokens=False).ids, self.lib_b.encode(text)
 
-    def _add(self, word: str, a, b, raw: bytes, bad: bool) -> None:
-        self.words[word] = len(self.sizes)
-        self.ids_a.add(() if bad else a)
-        self.ids_b.add(() if bad else b)
-        self.sizes.append(len(raw))
-        self.bad.append(bad)
-
     def _alone(self, words: list[str]) -> None:
         for word in words:
             raw = b" " + word.encode()
             a, b = self._ids(word)
-            self._add(word, a, b, raw, self.a.joined(a) != raw or self.b.joined(b) != raw)
+            bad = self.a.joined(a) != raw or self.b.joined(b) != raw
+            self._note([word], [len(raw)], bad)
+            self.ids_a.extend([] if bad else a, [0 if bad else len(a)])
+            self.ids_b.extend([] if bad else b, [0 if bad else len(b)])
+
+    def _note(self, words: list[str], sizes: list[int], bad: bool) -> None:
+        self.words.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.sizes.extend(sizes)
+        self.bad.extend([bad] * len(words))
 
     def _run(self, words: list[str]) -> None:
         """Encode words that may stand after each other in one go."""
         text = " ".join(words)
         raw = b" " + text.encode()
         a, b = self._ids(text)
-        if self.a.joined(a) != raw or self.b.joined(b) != raw:
+        sizes = [len(w) + 1 for w in raw[1:].split(b" ")]
+        if len(sizes) != len(words) or self.a.joined(a) != raw or self.b.joined(b) != raw:
             return self._alone(words)
-        sizes = [len(w.encode()) + 1 for w in words]
-        ends = np.cumsum(sizes)
-        cuts = []
+        ends, cuts = np.cumsum(sizes), []
         for ids, vocabulary in ((a, self.a), (b, self.b)):
             at = np.cumsum(vocabulary.size[ids])
             cut = np.searchsorted(at, ends)
             if (at[cut] != ends).any():
                 return self._alone(words)
-            cuts.append([0, *(cut + 1).tolist()])
-        for k, word in enumerate(words):
-            self._add(word, a[cuts[0][k] : cuts[0][k + 1]], b[cuts[1][k] : cuts[1][k + 1]], b"." * sizes[k], False)
+            cuts.append(cut + 1)
+        self._note(words, sizes, False)
+        self.ids_a.extend(a, cuts[0])
+        self.ids_b.extend(b, cuts[1])
 
     def cut(self, text: str) -> list[str]:
         """Parts between which nothing crosses; joined by spaces they are the text."""
@@ -174,6 +177,12 @@ class Encoder:
         return np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path_a: str, path_b: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path_a, path_b)
+
+
 def merge_path(a: np.ndarray, b: np.ndarray, piece: int = PIECE_ENDS) -> tuple[np.ndarray, np.ndarray]:
     """How many of `a` and of `b` precede each diagonal k * piece of the merge of two sorted lists; `a` first among ties."""
     diagonal = np.minimum(np.arange(0, len(a) + len(b) + piece, piece), len(a) + len(b))
@@ -265,7 +274,7 @@ def _flush(encoder: Encoder, held: list[tuple[_Doc, np.ndarray, bool]], wide: in
 
 def _aligned(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path_a, path_b)
+        encoder = encoder_of(path_a, path_b)
         wide = len(encoder.b.bytes)
         doc_type = pa.struct([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in DOC.split(", ")])
 
@@ -396,7 +405,7 @@ def hot_counts(pairs: DataFrame, most: int) -> DataFrame:
 
 def align(docs: DataFrame, path_a: str, path_b: str, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
     """(a row per document, the table of id pairs with their counts: a, b, n)."""
-    spark, encoder = docs.sparkSession, Encoder(path_a, path_b)
+    spark, encoder = docs.sparkSession, encoder_of(path_a, path_b)
     wide, kind = len(encoder.b.bytes), "<i8" if len(encoder.b.bytes) * len(encoder.a.bytes) >= 1 << 32 else "<u4"
     chunks = materialize(aligned_chunks(docs, path_a, path_b), "aligned")
     pairs = materialize(chunks.select("n_bytes", "links").mapInArrow(_count(kind), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
