@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontamination, jaccard_join, mixing, packing, passages, quality_rules, repeat_index, sharding, token_counts, toxicity, whitening
+from . import alignment, decontamination, jaccard_join, mixing, packing, passages, quality_rules, quality_votes, repeat_index, sharding, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_mix_sources": (mixing.op1_mix_sources, None),
@@ -17,4 +17,5 @@ QUERIES = {
     "op10_toxicity": (toxicity.op10_toxicity, None),
     "op11_whiten": (whitening.op11_whiten, None),
     "op12_align_tokens": (alignment.op12_align_tokens, None),
+    "op13_quality_votes": (quality_votes.op13_quality_votes, None),
 }
