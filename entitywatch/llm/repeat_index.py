@@ -14,7 +14,10 @@ with equal anchors are compared. Consecutive strings with one anchor form a stre
    all bytes. Of stretches that occur again in the task it sends one on; these repeat anyhow.
 2. A stretch whose bytes occur twice repeats as a whole. A stretch whose anchor occurs only with other bytes around it
    is open: its bytes are fetched and indexed together with those of one stretch of each kind with that anchor.
-   Anchors with very many kinds are settled by counting hashes of their strings instead, which splits and pre-aggregates.
+   Anchors with more kinds than an index takes are refined first: a string has at least half of its remaining bytes
+   either before its anchor or behind it, so its stretch falls into two whose anchors are longer by that half. Equal
+   strings again have equal anchors, parts with equal bytes repeat as a whole, and the rest is indexed, or refined
+   again; after eight halvings an anchor is a whole string.
 3. Texts that occur more than once are removed whole (if long enough). The others are cut, each row in its own task.
 
 Everything is exact but for collisions of 64-bit hashes. Defined results: null and empty texts and texts shorter than
@@ -25,6 +28,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -41,8 +45,8 @@ K = 48
 PART = 4 << 20
 #: Stretches that a task gathers before it sends them on.
 FLUSH_ROWS = 500_000
-#: Kinds of stretches of one anchor that one task indexes at most.
-KINDS = 2000
+#: Kinds of stretches of one anchor that are indexed together at most; anchors with more are refined.
+KINDS = 700
 #: Bytes indexed at a time.
 INDEX_BYTES = 1 << 18
 
@@ -274,21 +278,83 @@ def _marks(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["uid", "start", "end"])
 
 
-def _string_hashes(length: int):
-    """A row for each string of a stretch: uid, start, hash."""
+def halves(data: bytes, low: int, high: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first string, number of strings, new low, new high) of the two parts of a stretch with its anchor at low:high.
+
+    Strings with half of their other bytes before the anchor go to the first part, the others have as many behind it.
+    """
+    count = len(data) - length + 1
+    step = -(-(length - (high - low)) // 2)
+    first = min(max(low - step + 1, 0), count)
+    if first:
+        yield 0, first, low - step, high
+    if first < count:
+        yield first, count - first, low - first, high - first + step
+
+
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+_PARTS = "anchor long, kind long, uid long, start int, count int, times int, settled boolean, whole boolean, low int, high int, bytes binary"
+
+
+def _refined(length: int, k: int):
+    """Both parts of each stretch; of equal parts in a task one is sent on, the others are settled."""
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+
+    def settle(rows: dict) -> pa.RecordBatch:
+        out = []
+        for (anchor, kind), ((uid, start, count, whole, low, high, data), *others) in rows.items():
+            out.append((anchor, kind, uid, start, count, 2 if others else 1, False, whole, low, high, data))
+            out += [(anchor, kind, uid, start, count, 1, True, whole, None, None, None) for uid, start, count, whole, *_ in others]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = {}, 0
         for batch in batches:
-            for uid, start, whole, anchor, data in zip(*(batch.column(x).to_pylist() for x in ("uid", "start", "whole", "anchor", "bytes"))):
-                sums = prefix_sums(np.frombuffer(data, np.uint8))
-                at = np.arange(len(data) - length + 1)
-                h = signed(span_hashes(sums, at, at + length))
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([uid] * n, pa.int64()), pa.array(at + start), pa.array(h), pa.array([whole] * n)], ["uid", "start", "hash", "whole"])
+            columns = (batch.column(x).to_pylist() for x in ("anchor", "uid", "start", "whole", "low", "high", "bytes"))
+            for anchor, uid, start, whole, low, high, data in zip(*columns):
+                if low is None:
+                    at = np.arange(len(data) - k + 1)
+                    grams = signed(span_hashes(prefix_sums(np.frombuffer(data, np.uint8)), at, at + k))
+                    low = int(np.flatnonzero(grams == anchor)[0])
+                    high = low + k
+                for first, count, a, b in halves(data, low, high, length):
+                    part = data[first : first + count - 1 + length]
+                    side = b"<" if first == 0 and a < low else b">"
+                    key = _digest(side + part[a:b]), _digest(b"%d " % a + part)
+                    rows.setdefault(key, []).append((uid, start + first, count, whole, a, b, part))
+                    held += 1
+            if held > FLUSH_ROWS // 10:
+                yield settle(rows)
+                rows, held = {}, 0
+        if rows:
+            yield settle(rows)
 
     return run
 
 
+def _classified(sent: DataFrame, label: str) -> DataFrame:
+    """Stretches that repeat as a whole or share their anchor with other bytes; `nth` counts those with equal bytes.
+
+    One shuffle, by anchor, for all windows; what repeats in a task comes as one row.
+    """
+    places = sent.repartition("anchor").select(
+        "*", F.expr("sum(times) over (partition by anchor, kind)").alias("same"), F.expr("min(kind) over (partition by anchor)").alias("lowest"),
+        F.expr("max(kind) over (partition by anchor)").alias("highest"), F.expr("row_number() over (partition by anchor, kind order by uid, start)").alias("nth"))
+    places = places.where("same > 1 or lowest <> highest").withColumn("mixed", F.col("lowest") != F.col("highest"))
+    return materialize(places.withColumn("whole", F.col("whole") | (F.col("same") > 1)).drop("times", "same", "settled", "lowest", "highest"), label)
+
+
+def _open(places: DataFrame, kinds: int) -> DataFrame:
+    """One stretch of each kind of the anchors that have several kinds and an unsettled one; `many` if more than `kinds`."""
+    rows = places.where("mixed and nth = 1").drop("kind", "nth", "mixed")
+    wanted = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("done")).where("not done").select("anchor", (F.col("n") > kinds).alias("many"))
+    return rows.join(wanted, "anchor")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, kinds: int = KINDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, spans, texts): narrow rows of all documents, spans (uid, start, end) of repeats, and uid with text.
 
@@ -300,27 +366,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, kinds: int
     long_ = named.where(f"n_bytes >= {length}").select("uid", "text")
     sent = long_.mapInArrow(_stretch_rows(length, k), "anchor long, kind long, uid long, start int, count int, times int, settled boolean")
     sent = materialize(sent, "stretches")
-    # one shuffle, by anchor, for all windows
-    places = sent.where("not settled").repartition("anchor").select(
-        "*", F.expr("sum(times) over (partition by anchor, kind)").alias("same"), F.expr("min(kind) over (partition by anchor)").alias("low"),
-        F.expr("max(kind) over (partition by anchor)").alias("high"), F.expr("row_number() over (partition by anchor, kind order by uid, start)").alias("nth"))
-    places = materialize(places.where("same > 1 or low <> high").select("anchor", "kind", "uid", "start", "count", (F.col("same") > 1).alias("whole"), "nth", (F.col("low") != F.col("high")).alias("mixed")), "places")
     end = (F.col("start") + F.col("count") - 1 + length).cast("long").alias("end")
-    spans = places.where("whole").select("uid", F.col("start").cast("long").alias("start"), end).union(sent.where("settled").select("uid", F.col("start").cast("long").alias("start"), end))
-    # open stretches, and one of each other kind with their anchor
-    open_ = places.where("mixed and nth = 1").select("anchor", "uid", "start", "count", "whole")
-    many = open_.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("all_whole")).where("not all_whole").select("anchor", (F.col("n") > kinds).alias("many"))
-    open_ = open_.join(many, "anchor")
-    wanted = open_.select("uid").distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "uid"))
-    fetched = _texts_of(long_, bits).join(open_, "uid").select("anchor", "uid", "start", "whole", "many", F.substring("text", F.col("start") + 1, F.col("count") - 1 + length).alias("bytes"))
-    fetched = materialize(fetched.dropDuplicates(["uid", "start"]), "contexts")
-    few = fetched.where("not many").repartition("anchor").sortWithinPartitions("anchor", "uid", "start")
-    few = few.select("anchor", "uid", F.col("start").cast("long").alias("start"), "whole", "bytes").mapInArrow(_index_places(length), "uid long, start long, end long")
-    strings = fetched.where("many").mapInArrow(_string_hashes(length), "uid long, start long, hash long, whole boolean")
-    twice = strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    hot = strings.join(twice, "hash").where("not whole").select("uid", "start", (F.col("start") + length).alias("end"))
-    return rows, materialize(spans.union(few).union(hot), "spans"), long_
+    span = ["uid", F.col("start").cast("long").alias("start"), end]
+    places = _classified(sent.where("not settled").withColumn("whole", F.lit(False)), "places")
+    spans = [places.where("whole").select(*span), sent.where("settled").select(*span)]
+    open_ = _open(places, kinds)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(open_.select("uid").distinct(), "uid"))
+    bytes_ = F.substring("text", F.col("start") + 1, F.col("count") - 1 + length).alias("bytes")
+    fetched = _texts_of(long_, bits).join(open_, "uid").select("anchor", "uid", "start", "whole", "many", bytes_).dropDuplicates(["uid", "start"])
+    fetched = materialize(fetched.withColumns({"low": F.lit(None).cast("int"), "high": F.lit(None).cast("int")}), "contexts")
+    while True:
+        few = fetched.where("not many").repartition("anchor").sortWithinPartitions("anchor", "uid", "start")
+        few = few.select("anchor", "uid", F.col("start").cast("long").alias("start"), "whole", "bytes")
+        spans.append(few.mapInArrow(_index_places(length), "uid long, start long, end long"))
+        if fetched.where("many").isEmpty():
+            break
+        sent = materialize(fetched.where("many").select("anchor", "uid", "start", "whole", "low", "high", "bytes").mapInArrow(_refined(length, k), _PARTS), "refined")
+        places = _classified(sent.where("not settled"), "refined-places")
+        spans += [places.where("whole").select(*span), sent.where("settled").select(*span)]
+        fetched = materialize(_open(places, kinds), "refined-contexts")
+    return rows, materialize(functools.reduce(DataFrame.union, spans), "spans"), long_
 
 
 def _texts_of(long_: DataFrame, bits) -> DataFrame:
@@ -361,14 +426,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, kinds: int = KINDS) -> tuple[DataFrame, DataFrame]:
     """(one row per document with doc_id, n_bytes, n_removed, n_spans, kept_sha256; cut texts by uid for those that lose a part)."""
     rows, spans, long_ = repeated_spans(docs, length, k, kinds)
-    copies = rows.where(f"n_bytes >= {length}").groupBy("uid").agg(F.count("*").alias("copies")).where("copies > 1")
-    copies = materialize(copies, "copies")
+    copies = rows.where(f"n_bytes >= {length}").groupBy("uid", "whole_sha256").agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = materialize(copies, "copies")  # two unequal texts of one uid are no copies
     merged = spans.join(copies, "uid", "left_anti").groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
     merged = materialize(merged, "merged")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(merged, "uid"))
     cut = _texts_of(long_, bits).join(merged, "uid").mapInArrow(_cut, "uid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     narrow = materialize(cut.drop("kept"), "cut")
-    out = rows.join(copies, "uid", "left").join(narrow, "uid", "left")
+    out = rows.join(copies, ["uid", "whole_sha256"], "left").join(narrow, "uid", "left")
     gone = F.col("copies").isNotNull()
     out = out.select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),

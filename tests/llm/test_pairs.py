@@ -1,6 +1,7 @@
 """Jaccard join, passages and repeats against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -114,6 +115,33 @@ def removed(texts, length):
         yield len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("kinds", [2000, 30, 1])
+def test_anchors_in_many_surroundings(make_docs, kinds):
+    """A passage of which every copy has another word somewhere: refined anchors find the same bytes as one index."""
+    pick, words = random.Random(12), prose(31, 70)
+    texts = []
+    for k in range(600):
+        own = list(words)
+        own[pick.randrange(len(own))] = f"w{k}"
+        own[pick.randrange(len(own))] = f"v{k % 90}"
+        texts.append(" ".join(own))
+    rows = repeat_index.remove_repeats(make_docs(texts).repartition(4), kinds=kinds)[0].collect()
+    expected = dict(enumerate(removed([t.encode() for t in texts], 200)))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == expected
+    assert sum(e[1] > 0 for e in expected.values()) > 300
+
+
+def test_halves_keep_every_string():
+    data, length = bytes(range(256)) * 2, 200
+    part, low = data[: length + 140], 145
+    rounds = [[(0, part, low, low + 48)]]
+    while len(rounds) < 9:
+        rounds.append([(o + f, d[f : f + n - 1 + length], a, b) for o, d, lo, hi in rounds[-1] for f, n, a, b in repeat_index.halves(d, lo, hi, length)])
+        assert sorted(o + k for o, d, _, _ in rounds[-1] for k in range(len(d) - length + 1)) == list(range(141))
+        assert all(0 <= a and len(d) - length <= a and b <= length for _, d, a, b in rounds[-1])
+    assert all(len(d) == length and (a, b) == (0, length) for _, d, a, b in rounds[-1])
+
+
 @pytest.mark.parametrize("kinds", [2000, 1])
 def test_repeats(make_docs, corpus, kinds):
     texts = corpus + ["xyz" * 200, "q" * 199, "q" * 200 + "r", "é" * 150 + "x", "ab" + "é" * 150]

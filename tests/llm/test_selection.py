@@ -190,5 +190,5 @@ def test_pipeline(spark, tmp_path, make_docs):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "decontamination", "mix_sources", "sharding"]
