@@ -162,6 +162,83 @@ def test_items_of_one_template(make_docs, spark):
     assert decontamination.clean_documents(make_docs(texts), bench).count() == 0
 
 
+def test_windows_poor_in_words_and_items_without_id(make_docs, spark):
+    sums = "Find {} + {} x {} - {} where x is {}"
+    items = [(1, sums.format(12, 7, 3, 4, 9)), (2, sums.format(13, 8, 2, 5, 1)), (None, "How many steps does the tall man take from his red door to the old well in town"),
+             (None, "Compute 1 2 3 4 5 6 7 8 9 10 11 12 13 14")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [items[0][1], "so " + items[1][1] + " then", sums.format(12, 7, 3, 4, 8), items[2][1], "you know " + items[2][1], items[3][1], "1 2 3 4 5 6 7 8 9 10 11 12 13 14", None]
+    found = sorted((r.doc_id, r.item_id or -1, r.item_windows) for r in decontamination.contaminated(make_docs(texts), bench).collect())
+    assert found == [(0, 1, 3), (1, 1, 3), (2, 1, 3), (3, -1, 11), (4, -1, 11), (5, -1, 8)]
+    assert [r.doc_id for r in decontamination.clean_documents(make_docs(texts), bench).orderBy("doc_id").collect()] == [6, 7]
+
+
+def test_a_common_phrase_makes_no_pairs(make_docs, spark, monkeypatch):
+    phrase = "read the text below with care and then answer the question that follows it in full"
+    items = [f"{phrase} {' '.join(prose(500 + k, 40))}" for k in range(60)]
+    texts = [f"{' '.join(prose(900 + k, 20))}. {phrase} {' '.join(prose(1200 + k, 20))}" for k in range(60)] + items[:3]
+    made = {}
+    keep = decontamination.materialize
+    monkeypatch.setattr(decontamination, "materialize", lambda df, label: made.setdefault(label, keep(df, label)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontamination.contaminated(make_docs(texts), bench).collect())
+    assert found == [(60 + k, k) for k in range(3)]
+    assert made["matches"].count() < 1000  # 63 x 60 pairs share nine windows of the phrase
+
+
+def covered_items(text, items, coverage=0.5):
+    """Which items a text covers, by plain loops over positions of windows of eight words."""
+    def parts(t):
+        words, values, slots, _, likely = decontamination.templates([t.encode()])
+        return words.tolist(), values.tolist(), slots.tolist(), likely.tolist()
+
+    def key(p, i, n, first_named=False):
+        words, slots = list(p[0][i : i + n]), list(p[2][i : i + n])
+        if first_named:
+            words[0], slots[0] = int(decontamination.mix(decontamination.np.array([decontamination.NAME]))[0]), True
+        rich = slots.count(False) >= (5 if n == 8 else -(-n // 2))
+        where = [k for k in range(n) if slots[k]]
+        return ("t", tuple(words), [(words[k], p[1][i + k]) for k in where]) if rich else ("v", tuple(p[1][i : i + n]), []), slots.count(False)
+
+    doc, out = parts(text), set()
+    for number, item in enumerate(items):
+        own = parts(item)
+        n = min(8, len(own[0]))
+        places, plain = {}, False
+        for i in range(len(own[0]) - n + 1 if n else 0):
+            for named in (False, True) if i == 0 and own[3][0] else (False,):
+                (kind, mark, mine), _ = key(own, i, n, named)
+                for d in range(len(doc[0]) - n + 1):
+                    (k2, m2, theirs), literal = key(doc, d, n)
+                    if (kind, mark) == (k2, m2):
+                        places.setdefault(d - i, []).append((i, literal, [(a[0], a[1], b[1]) for a, b in zip(mine, theirs)]))
+        hit = set()
+        for found in places.values():
+            triples = {t for *_, ts in found for t in ts}
+            if len({t[:2] for t in triples}) == len(triples) == len({(t[0], t[2]) for t in triples}):
+                hit |= {i for i, *_ in found}
+                plain |= any(literal for _, literal, _ in found)
+        if plain and len(hit) >= coverage * (len(own[0]) - n + 1):
+            out.add(number)
+    return out
+
+
+def test_against_plain_loops(make_docs, spark):
+    pick = random.Random(77)
+    fill = ["the", "man", "sold", "red", "hens", "at", "noon", "Peter", "Anna", "7", "12", "9", "km", "kg", "for", "each", "of", "them.", "Then", "x"]
+    items = list(dict.fromkeys(" ".join(pick.choice(fill) for _ in range(pick.randint(3, 24))) for _ in range(25)))
+    texts = []
+    for _ in range(60):
+        words = pick.choice(items).split()
+        for _ in range(pick.randint(0, 3)):
+            words[pick.randrange(len(words))] = pick.choice(fill)
+        texts.append(" ".join([*pick.choices(fill, k=pick.randint(0, 6)), *words, *pick.choices(fill, k=pick.randint(0, 6))]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontamination.contaminated(make_docs(texts), bench).collect()
+    assert all(r.n_items == 1 for r in rows)
+    assert {(r.doc_id, r.item_id) for r in rows} == {(d, k) for d, t in enumerate(texts) for k in covered_items(t, items)}
+
+
 def test_pipeline(spark, tmp_path, make_docs):
     """Each stage against what the plain rules say of a small corpus."""
     item = " ".join(prose(40, 50))
