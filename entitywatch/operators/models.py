@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -20,16 +18,15 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..fixed import FEATURES, FOCAL_GAMMA, MIN_OVERSAMPLE_ROWS, RISK_THRESHOLD, SEQUENCE_LENGTH
-from ..functions import decay_weight, euclidean, index_to_label, label_to_index, saturate
-from ..session import materialize
+from ..functions import decay_weight, index_to_label, label_to_index, saturate
 from .evaluation import auc_roc, average_precision, time_split
 from .features import feature_array
+from .nearest import BLOCK_ROWS, neighbours
 from .windows import HOT_ROWS, trailing
 
-BLOCK_ROWS = 4000
 COPY_STEP = 100_000
 
 
@@ -158,105 +155,6 @@ def validate_detector(sequences: DataFrame, label: str = "y", share: float = 0.1
     return auc_roc(scored, "risk_score", label).withColumn("auc_pr", area)
 
 
-_BEST = "array<struct<gap: double, event_id: bigint, point: array<double>>>"
-CUTS = 1024
-
-
-def _nearest(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> list[list[dict]]:
-    """The k nearest data rows of each query, other than itself; ties by event id."""
-    data = data.sort_values("event_id", ignore_index=True)
-    points, ids = np.stack(data["point"].to_numpy()), data["event_id"].to_numpy()
-    found = []
-    for start in range(0, len(queries), 64):
-        strip = queries.iloc[start : start + 64]
-        own = np.stack(strip["point"].to_numpy())
-        gaps = np.sqrt(((own[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-        gaps[strip["event_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-        for row, gap in zip(order, gaps):
-            found.append([{"gap": gap[i], "event_id": ids[i], "point": points[i].tolist()} for i in row if np.isfinite(gap[i])])
-    return found
-
-
-def neighbours(
-    features: DataFrame, label: str = "label", k: int = 5, names: list[str] = FEATURES, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """The k nearest rows of the same class for each row, exact at every size, and the row's number in its class.
-
-    Rows of a class are put into cells by their distance to the class's centre, and cells into blocks of about
-    `block_rows`. A row first searches its own block. By the triangle inequality a nearer row's distance to the centre
-    differs from its own by no more than the k-th distance found, so it then visits only the other blocks of those
-    cells. Queries of a block are dealt out in portions, so no task holds more than a block and a portion. Rows without
-    a label are a class of their own.
-    """
-    rows = features.select("event_id", F.col(label).alias("label"), feature_array(names).alias("point"))
-    centres = features.groupBy(F.col(label).alias("label")).agg(
-        F.count(F.lit(1)).alias("class_rows"), F.array(*[F.avg(n) for n in names]).alias("centre")
-    )
-    placed = _by_class(rows, centres).withColumn("far", euclidean("point", "centre")).drop("centre")
-    shares = [i / CUTS for i in range(1, CUTS)]
-    cuts = placed.groupBy("label").agg(F.percentile_approx("far", shares, 20 * CUTS).alias("all_cuts"), F.max("class_rows").alias("_rows"))
-    # as many cells as blocks are needed: every n-th cut
-    step = F.greatest(F.lit(1), F.floor(F.lit(CUTS) / F.ceil(F.col("_rows") / block_rows))).cast("int")
-    cuts = cuts.select("label", F.filter("all_cuts", lambda c, i: (i + 1) % step == 0).alias("cuts"))
-
-    def cell(distance: Column) -> Column:
-        return F.size(F.filter("cuts", lambda c: c < distance))
-
-    placed = _by_class(placed, cuts).withColumn("cell", cell(F.col("far"))).drop("cuts")
-    parts = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
-    placed = _by_class(placed, parts, "cell").withColumn("part", F.pmod(F.xxhash64("event_id"), "parts").cast("int"))
-
-    def inside(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("event_id", ignore_index=True)
-        block["best"] = _nearest(block, block, k)
-        block["position"] = np.arange(len(block))
-        return block
-
-    columns = "event_id long, label string, point array<double>, class_rows long, far double, cell int, part int"
-    block = ["label", "cell", "part"]
-    first = materialize(
-        placed.select("event_id", "label", "point", "class_rows", "far", "cell", "part")
-        .groupBy(*block).applyInPandas(inside, f"{columns}, best {_BEST}, position long"), "nearest")
-
-    reach = F.when(F.size("best") == k, F.array_max(F.transform("best", lambda b: b["gap"]))).otherwise(F.lit(float("inf")))
-    # a little wider than the bound, for rounding
-    wide = _by_class(first, cuts).withColumn("reach", reach * (1 + 1e-9) + 1e-9)
-    wide = wide.withColumns({"low": cell(F.col("far") - F.col("reach")), "high": cell(F.col("far") + F.col("reach"))})
-    sent = wide.select("event_id", "label", "point", F.col("cell").alias("own_cell"), F.col("part").alias("own_part"), F.explode(F.sequence("low", "high")).alias("cell"))
-    sent = _by_class(sent, parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sent = sent.filter("cell <> own_cell OR part <> own_part").drop("own_cell", "own_part", "parts")
-    portions = sent.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("portions"))
-    asked = _by_class(sent, portions, "cell", "part").withColumn("portion", F.pmod(F.xxhash64("event_id", F.lit(1)), "portions").cast("int"))
-    asked = materialize(asked.select("event_id", "label", "point", *block[1:], "portion"), "asked")
-    data = _by_class(first.select("event_id", "label", "point", "cell", "part"), portions, "cell", "part")
-    data = data.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
-
-    def outside(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(others):
-            return pd.DataFrame({"event_id": [], "best": []})
-        return pd.DataFrame({"event_id": queries["event_id"], "best": _nearest(queries, others, k)})
-
-    more = asked.groupBy(*block, "portion").cogroup(data.groupBy(*block, "portion")).applyInPandas(outside, f"event_id long, best {_BEST}")
-    best = first.select("event_id", "best").union(more).groupBy("event_id").agg(F.flatten(F.collect_list("best")).alias("best"))
-    best = best.select(F.col("event_id").alias("_event"), F.transform(F.slice(F.array_sort("best"), 1, k), lambda b: b["point"]).alias("neighbours"))
-    ahead = Window.partitionBy("label").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = first.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    numbered = _by_class(first.select("event_id", "label", "point", "class_rows", "cell", "part", "position"), starts, "cell", "part")
-    numbered = numbered.select("event_id", "label", "point", "class_rows", (F.col("position") + F.col("start")).alias("position"))
-    return numbered.join(best, F.col("event_id") == F.col("_event")).drop("_event")
-
-
-def _by_class(rows: DataFrame, table: DataFrame, *more: str) -> DataFrame:
-    """Join on the label, null included, and on `more` columns."""
-    keys = ["label", *more]
-    other = table.withColumnsRenamed({c: f"_{c}" for c in keys})
-    on = F.col("label").eqNullSafe(F.col("_label"))
-    for c in more:
-        on &= F.col(c) == F.col(f"_{c}")
-    return rows.join(other, on).drop(*[f"_{c}" for c in keys])
-
-
 def _copies(rows: DataFrame, step: int = COPY_STEP) -> DataFrame:
     """One row per copy, numbered from 1. A row with very many copies is dealt out in portions first."""
     portions = rows.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"), F.lit(step))))

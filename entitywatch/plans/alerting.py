@@ -9,6 +9,7 @@ from ..operators import evaluation as ev
 from ..operators import explain as ex
 from ..operators import lookups as lk
 from ..operators import models as mo
+from ..operators import nearest as near
 from ..operators import profiles as pr
 from ..session import fresh_path, materialize
 from ..sources import tables as tb
@@ -188,11 +189,11 @@ def detector(spark, sf_dir):
     return scores.select("event_id", holds(risk.between(0, 1) & (F.col("flagged") == (risk > 0.5).cast("int")) & (area > 0.5)))
 
 
-def nearest(spark, sf_dir):
+def nearest(spark, sf_dir, block_rows=near.BLOCK_ROWS):
     """Neighbours found and the distance to the farthest, over all classes."""
     rows = _stored(spark, sf_dir)
     distances = F.transform("neighbours", lambda n: fn.euclidean("point", n))
-    found = mo.neighbours(rows).select("event_id", "label", F.size("neighbours").alias("n"), F.array_max(distances).alias("reach"))
+    found = near.neighbours(rows, block_rows=block_rows).select("event_id", "label", F.size("neighbours").alias("n"), F.array_max(distances).alias("reach"))
     return tidy(found, 2)
 
 
@@ -203,6 +204,14 @@ NEAREST = sql(f"""SELECT event_id, label, CAST(len(five) AS BIGINT) AS n, round(
   *FEATURE_PARTS, """told AS MATERIALIZED (SELECT f.*, l.label FROM feature f JOIN (SELECT event_id, label FROM access_log) l USING (event_id))""", scores=True)
 
 
+def pruned(spark, sf_dir):
+    """Whether a normal row looks into less than a fifth of the blocks when there are some hundred of them."""
+    rows = _stored(spark, sf_dir)
+    blocks = rows.agg((F.count(F.lit(1)) / 128).cast("int").alias("n")).first()["n"]
+    share = near.visited_share(rows, block_rows=max(blocks, 16)).filter("label = 'normal'")
+    return share.select("label", holds((F.col("visited") < 0.2) & (F.col("blocks") > 60), "below_a_fifth"))
+
+
 def oversampled(spark, sf_dir):
     """Rows per class, and how many synthetic ones lie on the segment from their row to one of its neighbours."""
     train = materialize(_train(_stored(spark, sf_dir)), "train")
@@ -453,6 +462,8 @@ QUERIES = {
     "m2_m4_baseline_scores": (baseline_scores, sql(EVERY_EVENT)),
     "m7_m8_detector": (detector, sql(EVERY_EVENT)),
     "j11_neighbours": (nearest, NEAREST),
+    "j11_neighbours_split": (lambda s, d: nearest(s, d, 300), NEAREST),
+    "j11_visited_blocks": (pruned, "SELECT 'normal' AS label, 1 AS below_a_fifth"),
     "m9_oversample": (
         oversampled,
         sql(f"""SELECT label, synthetic, n, n AS on_segment FROM (

@@ -12,6 +12,7 @@ from entitywatch.operators import evaluation as ev
 from entitywatch.operators import explain as ex
 from entitywatch.operators import lookups as lk
 from entitywatch.operators import models as mo
+from entitywatch.operators import nearest as near
 from entitywatch.session import fresh_path, materialize, release
 from entitywatch.sources import tables as tb
 
@@ -171,6 +172,29 @@ def test_neighbours_are_exact_at_every_size(spark, block_rows):
         assert [float(np.linalg.norm(np.array(n) - point)) for n in r.neighbours] == pytest.approx([g for g, _ in gaps[:5]])
 
 
+def test_reference_points_prune_in_many_dimensions(spark):
+    """Rows spread over 26 dimensions, a few of them wide: found exactly, and few blocks are looked into."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(1500, 26)) * np.array([100.0] * 3 + [1.0] * 23)
+    rows = spark.createDataFrame([(i, "normal" if i % 50 else None, *map(float, p)) for i, p in enumerate(points)], "event_id long, label string, " + ", ".join(f"{n} double" for n in FEATURES))
+    share = {r.label: r for r in near.visited_share(rows, block_rows=25).collect()}
+    assert share["normal"].blocks >= 60 and share["normal"].visited < 0.2 and share[None].visited <= 1
+    found = near.neighbours(rows, block_rows=25).collect()
+    assert len(found) == 1500
+    for r in found:
+        own = np.array([i for i in range(1500) if (i % 50 == 0) == (r.label is None) and i != r.event_id])
+        gaps = np.sort(np.sqrt(((points[own] - points[r.event_id]) ** 2).sum(axis=1)))[:5]
+        assert [float(np.linalg.norm(np.array(n) - points[r.event_id])) for n in r.neighbours] == pytest.approx(gaps.tolist())
+
+
+@pytest.mark.parametrize("rows", [[(1, "a", 0.0, 0.0)], [(i, "a", 1.0, 1.0) for i in range(60)], []])
+def test_neighbours_of_single_and_equal_rows(spark, rows):
+    table = spark.createDataFrame(rows, "event_id long, label string, a double, b double")
+    found = near.neighbours(table, names=NAMES, block_rows=10).collect()
+    assert sorted(len(r.neighbours) for r in found) == [min(5, len(rows) - 1)] * len(rows)
+    assert sorted(r.position for r in found) == list(range(len(rows)))
+
+
 @pytest.mark.parametrize("block_rows", [4000, 9])
 def test_oversampling_fills_classes_between_neighbours(spark, block_rows):
     rows = _blobs(spark)
