@@ -46,10 +46,10 @@ def _invert(ridge: float):
     return batches
 
 
-def entity_covariance(
+def centred_products(
     features: DataFrame, means: DataFrame, names: list[str] = FEATURES, key: str = "entity_id"
 ) -> DataFrame:
-    """Sample covariance per entity as array of rows; the identity for a single event.
+    """`rows`: sums of products of each feature's gap to the entity's mean with all features' gaps.
 
     Rows are centred on the entity's mean, then one row per feature is summed up against all
     features. The sums are combined before the shuffle, so an entity of any size arrives as
@@ -59,7 +59,7 @@ def entity_covariance(
     centred = features.join(means.select(key, "mean"), key).select(
         key, F.zip_with(feature_array(names), "mean", lambda x, m: x - m).alias("gap")
     )
-    products = (
+    return (
         centred.select(key, "gap", F.posexplode("gap").alias("feature", "x"))
         .groupBy(key, "feature")
         .agg(*[F.sum(F.col("x") * F.get("gap", F.lit(j))).alias(f"_{j}") for j in range(size)])
@@ -67,6 +67,13 @@ def entity_covariance(
         .groupBy(key)
         .agg(F.sort_array(F.collect_list("row")).alias("rows"))
     )
+
+
+def entity_covariance(
+    features: DataFrame, means: DataFrame, names: list[str] = FEATURES, key: str = "entity_id"
+) -> DataFrame:
+    """Sample covariance per entity as array of rows; the identity for a single event."""
+    products = centred_products(features, means, names, key)
     several = F.col("events") > 1
 
     def entry(x: Column, i: Column, j: Column) -> Column:
@@ -86,6 +93,55 @@ def fit_entity_stats(
     return means.join(inverses, key)
 
 
+def entity_moments(features: DataFrame, names: list[str] = FEATURES, key: str = "entity_id") -> DataFrame:
+    """Events, mean and centred products of each entity: what `merge_moments` adds up and `moment_stats` reads."""
+    means = entity_means(features, names, key)
+    products = centred_products(features, means, names, key)
+    return means.select(key, "events", "mean").join(products, key).select(
+        key, "events", "mean", F.transform("rows", lambda r: r["row"]).alias("products")
+    )
+
+
+def merge_moments(*parts: DataFrame, key: str = "entity_id") -> DataFrame:
+    """Moments over the events of all parts, such as the stored ones and those of a new day.
+
+    Each part has one row per entity, so an entity gathers no more rows than there are parts. The products of a part are
+    moved to the common mean by the outer product of its gap.
+    """
+    rows = parts[0].select(key, "events", "mean", "products")
+    for part in parts[1:]:
+        rows = rows.unionByName(part.select(key, "events", "mean", "products"))
+    gathered = rows.groupBy(key).agg(
+        F.sum("events").alias("events"), F.collect_list(F.struct("events", "mean", "products")).alias("_parts")
+    )
+
+    def summed(value) -> Column:
+        return F.aggregate("_parts", F.lit(0.0), lambda total, p: total + value(p))
+
+    size = F.size(F.get("_parts", F.lit(0))["mean"])
+    places = F.sequence(F.lit(0), size - 1)
+    mean = F.transform(places, lambda i: summed(lambda p: p["events"] * F.get(p["mean"], i)) / F.col("events"))
+    gathered = gathered.withColumn("mean", mean)
+
+    def product(p: Column, i: Column, j: Column) -> Column:
+        gap = [F.get(p["mean"], x) - F.get("mean", x) for x in (i, j)]
+        return F.get(F.get(p["products"], i), j) + p["events"] * gap[0] * gap[1]
+
+    products = F.transform(places, lambda i: F.transform(places, lambda j: summed(lambda p: product(p, i, j))))
+    return gathered.select(key, "events", "mean", products.alias("products"))
+
+
+def moment_stats(moments: DataFrame, ridge: float = RIDGE, key: str = "entity_id") -> DataFrame:
+    """Mean, deviation and inverse covariance, as `fit_entity_stats` has them, without a look at the events."""
+    several = F.col("events") > 1
+    matrix = F.transform("products", lambda row, i: F.transform(
+        row, lambda x, j: F.when(several, x / (F.col("events") - 1)).otherwise((i == j).cast("double"))))
+    std = F.transform("products", lambda row, i: F.when(several, F.sqrt(F.get(row, i) / (F.col("events") - 1))))
+    found = moments.select(key, "events", "mean", std.alias("std"), matrix.alias("covariance"))
+    inverses = found.select(key, "events", "covariance").mapInPandas(_invert(ridge), f"{key} string, inverse {SQUARE}")
+    return found.drop("covariance").join(inverses, key)
+
+
 def score_profile(
     features: DataFrame, stats: DataFrame, names: list[str] = FEATURES, key: str = "entity_id"
 ) -> DataFrame:

@@ -8,8 +8,10 @@ from ..operators import alerts as al
 from ..operators import evaluation as ev
 from ..operators import explain as ex
 from ..operators import lookups as lk
+from ..operators import manifold as mf
 from ..operators import models as mo
 from ..operators import nearest as near
+from ..operators import order as od
 from ..operators import profiles as pr
 from ..session import fresh_path, materialize
 from ..sources import tables as tb
@@ -135,6 +137,36 @@ def quantile(spark, sf_dir):
     return tidy(ev.exact_quantile(access_log(spark, sf_dir), "session_duration", 0.99))
 
 
+SKETCHED = [("all days", None, None), ("two weeks", "2024-01-08", "2024-01-22"), ("one day", "2024-01-10", "2024-01-11")]
+SHARES = [0.01, 0.1, 0.5, 0.9, 0.99]
+
+
+def sketched(spark, sf_dir):
+    """Quantiles of ranges of days from stored daily sketches, and whether their ranks in the log are as near as promised."""
+    log = access_log(spark, sf_dir)
+    days = materialize(ev.sketch_days(log, "session_duration"), "sketches")
+    out = []
+    for name, since, until in SKETCHED:
+        found = ev.sketched_quantiles(days, SHARES, since=since, until=until)
+        rows = log.filter(F.col("session_duration").isNotNull()).select(F.to_date("timestamp").alias("date"), "session_duration")
+        rows = rows.filter((F.col("date") >= (since or "1970-01-01")) & (F.col("date") < (until or "9999-01-01")))
+        rows = rows.withColumns({c: found.select(c).scalar() for c in ("n", "quantiles")})
+        within = F.lit(True)
+        ranks = []
+        for i, q in enumerate(SHARES):
+            x = F.get("quantiles", F.lit(i))
+            ranks += [F.avg((F.col("session_duration") < x).cast("int")).alias(f"low{i}"), F.avg((F.col("session_duration") <= x).cast("int")).alias(f"high{i}")]
+            within &= (F.col(f"low{i}") - ev.SKETCH_ERROR <= q) & (F.col(f"high{i}") + ev.SKETCH_ERROR >= q)
+        one = rows.agg(F.max("n").alias("n"), *ranks).filter("n IS NOT NULL")
+        out.append(one.select(F.lit(name).alias("days"), "n", holds(within, "within")))
+    return out[0].union(out[1]).union(out[2])
+
+
+STORED_SKETCHES = sql(" UNION ALL ".join(
+    f"SELECT '{name}' AS days, count(*) AS n, 1 AS within FROM access_log WHERE session_duration IS NOT NULL AND ts >= TIMESTAMP '{since or '1970-01-01'}' AND ts < TIMESTAMP '{until or '9999-01-01'}' HAVING count(*) > 0"
+    for name, since, until in SKETCHED))
+
+
 # Trained models. Features are computed once per query and kept in the shared folder.
 
 
@@ -165,6 +197,16 @@ def reconstruction(spark, sf_dir):
     return both.select("event_id", holds((score >= 0) & (score <= 1) & (F.col("whole") < 1e-6) & (F.col("whole") <= score + 1e-9)))
 
 
+def manifold(spark, sf_dir):
+    """Errors off the fitted surface are never negative, vanish with all components, and every row has one."""
+    rows = _stored(spark, sf_dir)
+    normal = pr.normal_rows(_train(rows))
+    some, all_ = (mf.score_manifold(rows, mf.fit_manifold(normal, k=k, waves=64)) for k in (16, 64))
+    both = some.select("event_id", "manifold_error", "manifold_score").join(all_.select("event_id", F.col("manifold_error").alias("whole")), "event_id")
+    error, score = F.col("manifold_error"), F.col("manifold_score")
+    return both.select("event_id", holds((error >= 0) & score.between(0, 1) & (F.col("whole") < 1e-6) & (F.col("whole") <= error + 1e-9)))
+
+
 def baseline_scores(spark, sf_dir):
     """Reconstruction and profile scores over all 26 features lie in 0..1, and the baseline score is their mean."""
     rows = _stored(spark, sf_dir)
@@ -189,6 +231,31 @@ def detector(spark, sf_dir):
     return scores.select("event_id", holds(risk.between(0, 1) & (F.col("flagged") == (risk > 0.5).cast("int")) & (area > 0.5)))
 
 
+def order_evidence(spark, sf_dir):
+    """Evidence and risk of every event from the order of resources, by a tree fitted on the training part."""
+    log = scored_log(spark, sf_dir).withColumn("y", (F.col("label") != "normal").cast("int"))
+    steps = materialize(od.with_context(log, "resource_accessed").select("event_id", "entity_id", "timestamp", "context", "action", "y"), "steps")
+    return tidy(od.score_order(steps, od.fit_contexts(_train(steps))).select("event_id", "evidence", "risk_score"))
+
+
+_KEYS = ["''", *[" || '>' || ".join(f"x{back}" for back in range(n, 0, -1)) for n in range(1, od.ORDER + 1)]]
+_LEVELS = [
+    f"""n{m} AS (SELECT {key} AS k, x0, sum(1 - y) AS n, sum(y) AS a FROM steps WHERE train AND {key} IS NOT NULL GROUP BY 1, 2),
+t{m} AS (SELECT k, sum(n) AS n, sum(a) AS a, count(*) FILTER (n > 0) AS kinds_n, count(*) FILTER (a > 0) AS kinds_a FROM n{m} GROUP BY 1),
+p{m + 1} AS (SELECT s.* EXCLUDE (pn, pa), CASE WHEN t.n > 0 THEN (coalesce(o.n, 0) + t.kinds_n * s.pn) / (t.n + t.kinds_n) ELSE s.pn END AS pn,
+    CASE WHEN t.a > 0 THEN (coalesce(o.a, 0) + t.kinds_a * s.pa) / (t.a + t.kinds_a) ELSE s.pa END AS pa
+  FROM p{m} s LEFT JOIN n{m} o ON o.k = {key} AND o.x0 = s.x0 LEFT JOIN t{m} t ON t.k = {key})"""
+    for m, key in enumerate(_KEYS)
+]
+ORDER_EVIDENCE = sql(f"""SELECT event_id, round(e, 6) + 0.0 AS evidence, round(1 / (1 + exp(-(e + odds))), 6) + 0.0 AS risk_score FROM (
+  SELECT event_id, sum(ln(pa / pn)) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS 9 PRECEDING) AS e FROM p{od.ORDER + 1}) CROSS JOIN prior""",
+  f"""steps AS MATERIALIZED (SELECT event_id, entity_id, ts, ts < TIMESTAMP '{TRAIN_UNTIL}' AS train, CASE WHEN label <> 'normal' THEN 1 ELSE 0 END AS y,
+    resource_accessed AS x0, {", ".join(f"lag(resource_accessed, {b}) OVER w AS x{b}" for b in range(1, od.ORDER + 1))}
+  FROM access_log WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id))""",
+  "prior AS (SELECT ln((sum(y) + 1) / (sum(1 - y) + 1)) AS odds, CAST(1 AS DOUBLE) / (count(DISTINCT x0) + 1) AS base FROM steps WHERE train)",
+  "p0 AS (SELECT steps.*, base AS pn, base AS pa FROM steps CROSS JOIN prior)", *_LEVELS, scores=True)
+
+
 def nearest(spark, sf_dir, block_rows=near.BLOCK_ROWS):
     """Neighbours found and the distance to the farthest, over all classes."""
     rows = _stored(spark, sf_dir)
@@ -374,6 +441,7 @@ QUERIES = {
     "a18_quantile": (
         quantile, sql("SELECT round(quantile_cont(session_duration, 0.99), 6) + 0.0 AS quantile FROM access_log")
     ),
+    "a18_stored_sketches": (sketched, STORED_SKETCHES),
     "w11_alert_queue": on_alerts(
         queue,
         """SELECT row_number() OVER (ORDER BY risk_score DESC, event_id) AS rank, event_id, entity_id, predicted_attack_type, risk_score
@@ -459,8 +527,10 @@ QUERIES = {
     ),
     "e1_e6_evaluate_detection": (evaluate, EVALUATE),
     "m3_reconstruction": (reconstruction, sql(EVERY_EVENT)),
+    "m3_manifold": (manifold, sql(EVERY_EVENT)),
     "m2_m4_baseline_scores": (baseline_scores, sql(EVERY_EVENT)),
     "m7_m8_detector": (detector, sql(EVERY_EVENT)),
+    "m7_m8_action_order": (order_evidence, ORDER_EVIDENCE),
     "j11_neighbours": (nearest, NEAREST),
     "j11_neighbours_split": (lambda s, d: nearest(s, d, 300), NEAREST),
     "j11_visited_blocks": (pruned, "SELECT 'normal' AS label, 1 AS below_a_fifth"),

@@ -14,6 +14,7 @@ from ..operators import models as mo
 from ..operators import profiles as pr
 from ..operators import rules as ru
 from ..operators.windows import sweep
+from ..session import materialize
 from .common import *
 
 SPLIT = 20  # rows above which the `_split` queries cut an entity into time chunks
@@ -654,7 +655,29 @@ FULL_COHORTS = sql("SELECT coalesce(entity_type, '*') AS entity_type, " + ", ".j
   + " FROM feature GROUP BY GROUPING SETS ((entity_type), ())", *FEATURE_PARTS)
 
 
+MERGED = ["hour_of_day", "session_duration_raw", "access_freq_24hr"]
+
+
+def merged_profiles(spark, sf_dir):
+    """Means and covariances of entities from three parts in time, each summed up by itself and then merged."""
+    rows = materialize(feature_rows(spark, sf_dir), "features")
+    day = F.to_date("timestamp")
+    spans = (day < "2024-01-10", (day >= "2024-01-10") & (day < "2024-01-29"), day >= "2024-01-29")
+    parts = [pr.entity_moments(rows.filter(span), MERGED) for span in spans]
+    merged = pr.merge_moments(pr.merge_moments(*parts[:2]), parts[2])
+    product = lambda i, j: F.get(F.get("products", F.lit(i)), F.lit(j)) / F.when(F.col("events") > 1, F.col("events") - 1)
+    means = [F.get("mean", F.lit(i)).alias(f"mean_{n}") for i, n in enumerate(MERGED)]
+    spreads = [product(i, i).alias(f"var_{n}") for i, n in enumerate(MERGED)]
+    return tidy(merged.select("entity_id", "events", *means, *spreads, product(0, 1).alias("cov_hour_duration")), 4)
+
+
+MERGED_PROFILES = sql("SELECT entity_id, count(*) AS events, " + ", ".join(
+    f"round(avg({n}), 4) + 0.0 AS mean_{n}, round(var_samp({n}), 4) + 0.0 AS var_{n}" for n in MERGED)
+  + f", round(covar_samp({MERGED[0]}, {MERGED[1]}), 4) + 0.0 AS cov_hour_duration FROM feature GROUP BY 1", *FEATURE_PARTS)
+
+
 QUERIES = {
+    "a4_a5_merged_profiles": (merged_profiles, MERGED_PROFILES),
     "a4_entity_stats_full": (full_stats, FULL_STATS),
     "a5_covariance_full": (full_covariances, FULL_COVARIANCES),
     "a6_cohorts_full": (full_cohorts, FULL_COHORTS),

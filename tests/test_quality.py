@@ -11,8 +11,10 @@ from entitywatch.operators import alerts as al
 from entitywatch.operators import evaluation as ev
 from entitywatch.operators import explain as ex
 from entitywatch.operators import lookups as lk
+from entitywatch.operators import manifold as mf
 from entitywatch.operators import models as mo
 from entitywatch.operators import nearest as near
+from entitywatch.operators import profiles as pr
 from entitywatch.session import fresh_path, materialize, release
 from entitywatch.sources import tables as tb
 
@@ -283,3 +285,57 @@ def test_metrics_document(spark):
     path = fresh_path(spark, "metrics")
     tb.write_metrics(spark.createDataFrame([('{"detection":{"f1":0.5}}',)], "metrics string"), path)
     assert tb.read_metrics(spark, path).select(F.get_json_object("metrics", "$.detection.f1")).first()[0] == "0.5"
+
+
+def test_stored_sketches_answer_for_any_days(spark):
+    rng = np.random.default_rng(5)
+    values = [(int(d), float(v)) for d, v in zip(rng.integers(0, 6, 20_000), rng.gamma(0.3, 50, 20_000))] + [(2, None)] * 9
+    table = spark.createDataFrame(values, "day int, v double").withColumn("timestamp", F.timestamp_seconds(F.col("day") * 86_400 + 5))
+    path = fresh_path(spark, "sketches")
+    ev.sketch_days(table, "v").write.parquet(path)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    for since, until, days in ((None, None, range(6)), ("1970-01-02", "1970-01-05", range(1, 4)), ("1970-01-06", None, range(5, 6))):
+        own = np.sort([v for d, v in values if d in days and v is not None])
+        (row,) = ev.sketched_quantiles(spark.read.parquet(path), shares, since=since, until=until).collect()
+        assert row.n == len(own)
+        for q, x in zip(shares, row.quantiles):
+            assert np.searchsorted(own, x, "left") / len(own) - ev.SKETCH_ERROR <= q <= np.searchsorted(own, x, "right") / len(own) + ev.SKETCH_ERROR
+    assert ev.sketched_quantiles(ev.sketch_days(table.limit(0), "v"), shares).count() == 0
+
+
+def test_merged_moments_equal_a_fit_on_all(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"usr_{min(i % 7, 4)}", i % 3, *(1e4 + rng.normal(size=3))) for i in range(60)] + [("once", 0, 1.0, 2.0, 3.0), ("new", 2, 4.0, 5.0, 6.0)]
+    table = spark.createDataFrame([(e, p, *map(float, x)) for e, p, *x in rows], "entity_id string, part int, a double, b double, c double")
+    names = ["a", "b", "c"]
+    parts = [pr.entity_moments(table.filter(F.col("part") == p), names) for p in range(3)]
+    merged = pr.merge_moments(pr.merge_moments(*parts[:2]), parts[2])
+    got = {r.entity_id: r for r in pr.moment_stats(merged).collect()}
+    want = {r.entity_id: r for r in pr.fit_entity_stats(table, names).collect()}
+    assert set(got) == set(want) and got["once"].events == 1
+    for key, r in want.items():
+        assert got[key].events == r.events and got[key].mean == pytest.approx(r.mean, rel=1e-12)
+        assert got[key].std == (pytest.approx(r.std, rel=1e-9) if r.events > 1 else r.std)
+        assert np.array(got[key].inverse) == pytest.approx(np.array(r.inverse), rel=1e-7)
+    assert pr.merge_moments(*[p.limit(0) for p in parts]).count() == 0
+
+
+def test_rows_off_a_ring_stand_out(spark):
+    """The middle of a ring is off the surface, which no linear components can tell; values against a second computation."""
+    rng = np.random.default_rng(2)
+    angle = rng.uniform(0, 2 * np.pi, 500)
+    ring = np.stack([np.cos(angle), np.sin(angle), 0 * angle], axis=1) * 3 + rng.normal(scale=0.1, size=(500, 3))
+    middle = rng.normal(scale=0.4, size=(40, 3))
+    points = np.concatenate([ring, middle])
+    rows = spark.createDataFrame([(i, int(i >= 500), *map(float, p)) for i, p in enumerate(points)], "event_id long, y_true int, a double, b double, c double")
+    names, fitted, asked = ["a", "b", "c"], rows.filter("event_id < 400"), rows.filter("event_id >= 400")
+    model = mf.fit_manifold(fitted, k=12, width=1.0, names=names, waves=128)
+    scored = mf.score_manifold(asked, model, names)
+    assert ev.auc_roc(scored, "manifold_score").first()[0] > 0.98
+    linear = mo.score_reconstruction(asked, mo.fit_reconstruction(fitted, 2, names), names)
+    assert ev.auc_roc(linear, "reconstruction_score").first()[0] < 0.8
+    waves = mf.waves_of(points, ring[:400].mean(axis=0), ring[:400].std(axis=0), model.directions, model.shifts)
+    gaps = waves - waves[:400].mean(axis=0)
+    leading = np.linalg.eigh(gaps[:400].T @ gaps[:400])[1][:, -12:]
+    want = (gaps**2).sum(axis=1) - ((gaps @ leading) ** 2).sum(axis=1)
+    assert [r.manifold_error for r in scored.orderBy("event_id").collect()] == pytest.approx(want[400:].tolist(), abs=1e-9)
