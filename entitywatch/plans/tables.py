@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .. import functions as fn
+from .. import functions as fn, schema
 from ..fixed import AUTH_METHODS, ENTITY_TYPES, LABELS
 from ..operators import alerts as al
 from ..operators import evaluation as ev
@@ -16,6 +16,23 @@ LOG = """SELECT event_id, entity_id, entity_type, epoch_us(ts) AS timestamp, sou
   auth_method, session_duration, command_sequence, device_fingerprint FROM access_log"""
 
 
+def faulty_log(spark, sf_dir):
+    """Rows of a log with planted faults by reason, and the sum of the ids of the good ones."""
+    log, path = access_log(spark, sf_dir), fresh_path(spark, "faulty")
+    line = F.to_csv(F.struct(*log.columns), {"escape": '"', "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    fault = F.col("event_id") % 50
+    broken = F.when(fault == 0, F.regexp_replace(line, "T[0-9:.]+,", "Tnever,")).when(fault == 1, F.substring_index(line, ",", 3))
+    broken = broken.when(fault == 2, F.concat(line, F.lit(",more"))).when(fault == 3, F.regexp_replace(line, "^[0-9]+,", r"\\N,"))
+    log.select(F.coalesce(broken, line)).write.text(path)
+    good, rejected = tb.read_checked(spark, path, schema.ACCESS_LOG, ("event_id", "entity_id", "timestamp"), header=False)
+    found = good.select(F.lit("good").alias("reason"), "event_id").union(rejected.select("reason", F.lit(0).cast("long")))
+    return tidy(found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")))
+
+
+FAULTY = sql("""SELECT CASE WHEN event_id % 50 < 3 THEN 'unreadable' WHEN event_id % 50 = 3 THEN 'no event_id' ELSE 'good' END AS reason,
+  count(*) AS n, CAST(sum(CASE WHEN event_id % 50 > 3 THEN event_id ELSE 0 END) AS BIGINT) AS ids FROM access_log GROUP BY 1""")
+
+
 def stored_log(spark, sf_dir, fmt="csv"):
     path = fresh_path(spark, "log")
     tb.write_table(access_log(spark, sf_dir), path, fmt)
@@ -281,6 +298,7 @@ def json_rows(spark, sf_dir):
 
 QUERIES = {
     "s1_read_log_csv": (stored_log, sql(LOG)),
+    "s1_rejected_rows": (faulty_log, FAULTY),
     "s1_read_log_parquet": (lambda s, d: stored_log(s, d, "parquet"), sql(LOG)),
     "s2_read_truth": (stored_truth, sql("SELECT event_id, entity_id, epoch_us(ts) AS timestamp, label FROM access_log", scores=True)),
     "s3_read_alerts_by_date": (

@@ -339,3 +339,15 @@ def test_rows_off_a_ring_stand_out(spark):
     leading = np.linalg.eigh(gaps[:400].T @ gaps[:400])[1][:, -12:]
     want = (gaps**2).sum(axis=1) - ((gaps @ leading) ** 2).sum(axis=1)
     assert [r.manifold_error for r in scored.orderBy("event_id").collect()] == pytest.approx(want[400:].tolist(), abs=1e-9)
+
+
+def test_bad_rows_are_kept_apart(spark, make_log):
+    log = make_log({"event_id": 1, "commands": "ls,cat"}, {"event_id": 2, "entity_id": None}, {"event_id": 3, "commands": None})
+    path = fresh_path(spark, "mixed")
+    tb.write_table(log, path, "csv")
+    spark.createDataFrame([("entity_id of the header",), ("x,usr_1,user",)], "value string").coalesce(1).write.mode("append").text(path)
+    good, rejected = tb.read_checked(spark, path, log.schema, ("event_id", "entity_id"))
+    assert sorted(map(tuple, good.collect())) == sorted(tuple(r) for r in log.collect() if r.event_id != 2)
+    found = {r.reason: r.text for r in rejected.collect()}
+    assert found["unreadable"] == "x,usr_1,user" and '"event_id":2' in found["no entity_id"] and len(found) == 2
+    assert tb.read_checked(spark, path, log.schema)[0].count() == 3
