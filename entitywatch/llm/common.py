@@ -67,14 +67,32 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn(KEY, row_key(df))
 
 
-def spread(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows of a keyed table once for each element of the plan's array, as column __item; plan has (row_key, items).
+#: Rows of a plan with one key beyond which the key's rows are dealt to several tasks.
+HOT_COPIES = 1000
 
-    The plan has one row per key, with elements for all equal rows together, so of equal rows one is spread.
+
+def spread(df: DataFrame, plan: DataFrame, hot: int = HOT_COPIES) -> DataFrame:
+    """Rows of a keyed table once for each row (row_key, __item) of a stored plan, with column __item.
+
+    The plan's rows of a key stand for all equal rows together, so of equal rows one is spread. Nothing is gathered:
+    one row per key meets the plan's rows in a join. A key with more than `hot` rows in the plan goes to several tasks:
+    its one row is repeated for every `hot` of them, and each of the plan's rows meets one of these.
     """
-    plan = plan.select(F.col("row_key").alias(KEY), F.col("items").alias("__items"))
+    plan = plan.withColumnRenamed("row_key", KEY)
     first = F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))
-    return df.join(plan, KEY).withColumn("__first", first).where("__first = 1").withColumn("__item", F.explode("__items"))
+
+    def one(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__first", first).where("__first = 1")
+
+    many = materialize(plan.groupBy(F.col(KEY).alias("row_key")).agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot_copies")
+    if many.isEmpty():
+        return one(df).join(plan, KEY)
+    rare, often = split_by(df, many)
+    deal = many.select(F.col("row_key").alias(KEY), F.ceil(F.col("n") / hot).alias("__deals"))
+    dealt = plan.join(deal, KEY).withColumn("__deal", F.floor(F.rand(7) * F.col("__deals"))).drop("__deals")
+    copies = one(often).join(deal, KEY).withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__deals") - 1))).drop("__deals")
+    cold = plan.join(deal, KEY, "left_anti")
+    return one(rare).join(cold, KEY).unionByName(one(often).join(cold, KEY)).unionByName(copies.join(materialize(dealt, "dealt"), [KEY, "__deal"]).drop("__deal"))
 
 
 def components(edges: DataFrame) -> DataFrame:

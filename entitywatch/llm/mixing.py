@@ -5,8 +5,9 @@ made from a hash of its id; keys sort the documents of a source, largest first,
 without replacement. A source's target is met by whole epochs first (every document, once for each time the source
 fits), then by the prefix of that order whose sizes fill the rest; the document at the edge gives only its first words.
 
-A source may hold most of the rows: its order is cut into ranges of keys, prefix sums run in each range, and only range
-totals meet per source. Sources themselves (one row each) are ranked in one small window.
+A source may hold most of the rows: the order is cut into ranges by sampled quantiles of (source, key, id, hashes), so
+that ranges hold about as many rows each whatever the weights; prefix sums run in each range, and only range totals meet
+per source. Sources themselves (one row each) are ranked in one small window.
 
 Defined results: a null source is a source of its own, after all others; a null or empty text has size 0 and is taken
 0 times; a null, negative or missing quality weight counts as 1 and weight 0 sorts last; ties go by id and text hash;
@@ -24,8 +25,8 @@ from .common import keyed, materialize, row_key, spread, table
 CYCLE = (5, 2, 1)
 #: No source gives more than this many times its words.
 MOST_EPOCHS = 3
-#: Rows of a source that one range holds, about.
-RANGE_ROWS = 5_000
+#: Rows that one range of the order holds, about; there are as many ranges as shuffle partitions at least.
+RANGE_ROWS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -59,6 +60,12 @@ def source_targets(sizes: DataFrame, weights: DataFrame | None = None, most: flo
     return per.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def in_ranges(rows: DataFrame, ranges: int) -> DataFrame:
+    """Rows with `part`, the number of their range of the order; only rows equal in all columns can't be parted."""
+    cut = rows.repartitionByRange(ranges, "source", F.col("sample_key").desc(), "doc_id", "text_hash", "row_key")
+    return cut.withColumn("part", F.spark_partition_id())
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: DataFrame | None = None, most: float = MOST_EPOCHS, seed: int = 17, range_rows: int = RANGE_ROWS) -> DataFrame:
     """What the mix takes of each row of `docs` (doc_id, source, text).
 
@@ -79,9 +86,10 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: DataFrame |
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     targets = materialize(targets, "targets").withColumnRenamed("source", "other")
+    spark = docs.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(targets.agg(F.sum("n")).first()[0] or 0) // range_rows))
     rows = base.join(targets, F.col("source").eqNullSafe(F.col("other"))).drop("other")
-    rows = rows.withColumn("part", F.floor((1 - F.col("sample_key")) * F.ceil(F.col("n") / range_rows)).cast("int"))
-    rows = materialize(rows, "mix_rows")
+    rows = materialize(in_ranges(rows, ranges), "mix_rows")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words")).select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "part").orderBy(F.col("sample_key").desc(), "doc_id", "text_hash", "row_key").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,8 +115,8 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, weights:
     part = F.col("taken") - F.col("epochs") * F.col("size")
     pieces = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.expr("array()").cast("array<bigint>")))
     items = F.transform(pieces, lambda words: F.struct(words.alias("words"), F.col("size").alias("of")))
-    plan = taken.select("row_key", items.alias("own")).groupBy("row_key").agg(F.flatten(F.collect_list("own")).alias("items"))
-    rows = spread(keyed(docs), plan)
+    plan = taken.select("row_key", F.explode(items).alias("__item"))
+    rows = spread(keyed(docs), materialize(plan, "mix_plan"))
     words = F.array_remove(F.split(F.translate("text", "\t\n\u000b\f\r", "     "), " ", -1), "")
     cut = F.col("__item.words") < F.col("__item.of")
     rows = rows.withColumn("text", F.when(cut, F.array_join(F.slice(words, 1, F.col("__item.words").cast("int")), " ")).otherwise(F.col("text")))

@@ -108,7 +108,7 @@ def shard(docs: DataFrame, shards: int = 8, blocks: int = BLOCKS, slot_rows: int
 def with_slots(placed: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Number the rows of each shard from 0. Rows are numbered in parts by hash; only part totals meet per shard."""
     many = placed.groupBy(F.col("block").alias("b")).agg(F.ceil(F.count("*") / slot_rows).alias("parts"))
-    placed = materialize(placed.join(many, F.col("block") == F.col("b")).drop("b").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts"), "placed")
+    placed = materialize(placed.join(many, F.col("block") == F.col("b")).drop("b").withColumn("part", F.pmod(F.xxhash64("doc_id", "row_key"), F.col("parts")).cast("int")).drop("parts"), "placed")
     before = Window.partitionBy("shard").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "block", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy("shard", "block", "part").orderBy("text_md5", "doc_id", "row_key")) - 1
@@ -117,9 +117,9 @@ def with_slots(placed: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
 
 def sharded_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """docs with shard and slot, in place of columns of these names."""
-    plan = shard(docs, shards).groupBy("row_key").agg(F.collect_list(F.struct("shard", "slot")).alias("items"))
+    plan = shard(docs, shards).select("row_key", F.struct("shard", "slot").alias("__item"))
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    return spread(keyed(docs), plan).select(*kept, F.col("__item.shard").alias("shard"), F.col("__item.slot").alias("slot"))
+    return spread(keyed(docs), materialize(plan, "shard_plan")).select(*kept, F.col("__item.shard").alias("shard"), F.col("__item.slot").alias("slot"))
 
 
 def op7_shard(spark, sf_dir: str) -> DataFrame:

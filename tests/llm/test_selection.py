@@ -6,9 +6,11 @@ from collections import Counter
 
 import pytest
 from helpers import prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from entitywatch.llm import decontamination, mixing, sharding
+from entitywatch.llm.common import keyed, materialize, row_key, spread
 from entitywatch.llm.queries import QUERIES
 
 
@@ -71,6 +73,44 @@ def test_mix_of_odd_tables(odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 == mixing.mixed_documents(no_docs).count()
 
 
+def test_ranges_hold_about_as_many_rows_whatever_the_weights(spark):
+    key = F.when(F.col("id") % 3 == 0, F.pow(F.rand(1), F.lit(4.0))).when(F.col("id") % 3 == 1, F.lit(0.0)).otherwise(F.rand(2))
+    rows = spark.range(60_000).select(F.lit("a").alias("source"), key.alias("sample_key"), F.lit(7).alias("doc_id"), F.xxhash64("id").alias("text_hash"), F.col("id").alias("row_key"))
+    sizes = [r["count"] for r in mixing.in_ranges(rows, 40).groupBy("part").count().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 40
+
+
+def test_the_choice_recomputed(spark, make_docs):
+    """Of one source the documents with the largest keys fill what whole epochs leave, the last one in part."""
+    texts = ["w " * (1 + k % 9) for k in range(300)] + ["v " * 2000]
+    docs = make_docs(texts, sources=["a"] * 300 + ["b"])
+    weights = spark.createDataFrame([("a", 3.0), ("b", 2.2)], "source string, weight double")
+    quality = spark.createDataFrame([(k, [0.25, 2.0, 0.0, None][k % 4]) for k in range(300)], "doc_id long, quality_weight double")
+    rows = [r for r in mixing.mix(docs, quality, weights).collect() if r.source == "a"]
+    size, target = sum(r.size for r in rows), rows[0].target
+    epochs, rest = int(target // size), round(target - target // size * size)
+    assert 0 < rest < size
+    for r in sorted(rows, key=lambda r: (-r.sample_key, r.doc_id)):
+        part = min(rest, r.size)
+        rest -= part
+        assert r.taken == epochs * r.size + part
+        assert (r.sample_key == 0) == (r.doc_id % 4 == 2)
+
+
+def test_rows_equal_in_all_columns_are_spread_over_tasks(spark, make_docs):
+    docs = make_docs(["one two three"] * 500 + ["four"] * 3 + ["five six"], sources=["a"] * 504)
+    same = docs.withColumn("doc_id", F.when(F.col("text") == "five six", 2).otherwise(1).cast(docs.schema["doc_id"].dataType))
+    plan = materialize(same.select(row_key(same).alias("row_key"), F.monotonically_increasing_id().alias("__item")), "plan")
+    for hot in (1000, 7, 2):
+        rows = spread(keyed(same), plan, hot).select(*same.columns, "__item").collect()
+        assert len({r["__item"] for r in rows}) == len(rows) == 504
+        assert Counter((r.doc_id, r.text) for r in rows) == {(1, "one two three"): 500, (1, "four"): 3, (2, "five six"): 1}
+    mixed = mixing.mixed_documents(same).collect()
+    assert Counter(r.text for r in mixed) == {"one two three": 500, "four": 3, "five six": 1}
+    slots = sharding.sharded_documents(same).collect()
+    assert len(slots) == 504 == len({(r.shard, r.slot) for r in slots})
+
+
 def smallest_largest(sizes, shards):
     """The smallest feasible capacity, tried one by one from the sums that a shard can have."""
     sums = {sum(sizes[a:b]) for a in range(len(sizes)) for b in range(a + 1, len(sizes) + 1)}
