@@ -1,9 +1,10 @@
 """Quality rules: plain counts of each text and a classifier trained on labelled quality rows, against fixed thresholds.
 
-Method, logistic regression on hashed n-grams. Features are the shares of byte 3- and 5-grams and of word 1- and 2-grams
-in 2**SLOT_BITS slots per kind (A-Z and the other case stay apart, as shouting is a sign of junk). The model is fitted
-on at most TRAIN_ROWS labelled rows, chosen by a hash of the id (a documented bound; every row is scored). Part of them
-is held back to calibrate the probability (Platt's logistic curve of the raw score). Scoring runs in Arrow batches: the
+Method, logistic regression on hashed n-grams. Features are the shares of character 3- and 5-grams (code points) and of
+word 1- and 2-grams in 2**SLOT_BITS slots per kind (A-Z and the other case stay apart, as shouting is a sign of junk).
+The model is fitted on at most TRAIN_ROWS labelled rows, chosen by a hash of the id (a documented bound; every row is
+scored). N-grams are counted where the texts lie, so that the one task that fits gets counts, at most 4 * 2**SLOT_BITS
+a row, however long the texts are. Part of the rows is held back to calibrate the probability (Platt's logistic curve of the raw score). Scoring runs in Arrow batches: the
 score of a text is the mean weight of its n-grams, one lookup for each position of the whole text.
 
 Defined results: null and empty texts have no words, fail the base rules and score the model's bias; rows without a
@@ -26,7 +27,7 @@ from .text import IS_SPACE, SPACES, chunked, mix, prefix_sums, span_hashes, wind
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 2000
 SLOT_BITS = 16
-KINDS = ("bytes3", "bytes5", "words1", "words2")
+KINDS = ("chars3", "chars5", "words1", "words2")
 MIN_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 REPEAT_WINDOW = 8
@@ -63,13 +64,17 @@ def ngram_slots(texts_: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]
     sizes = np.array([len(t) for t in texts_], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
     kinds = []
-    wide = data.astype(np.uint32)
     shift = np.uint32(32 - SLOT_BITS)
-    n = len(data) - 6
-    three = (wide[:n] | (wide[1 : n + 1] << np.uint32(8)) | (wide[2 : n + 2] << np.uint32(16))) * np.uint32(0x9E3779B1)
-    kinds.append(((three >> shift), _bounds(begins, sizes, 3)))
-    five = ((three ^ (three >> np.uint32(15))) + (wide[3 : n + 3] | (wide[4 : n + 4] << np.uint32(8))) * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
-    kinds.append(((five >> shift), _bounds(begins, sizes, 5)))
+    points, at, lengths = _code_points(texts_)
+    n = len(points) - 6
+    three = points[:n]
+    for k in (1, 2):
+        three = three * np.uint32(0x85EBCA77) + points[k : n + k]
+    kinds.append(((three * np.uint32(0x9E3779B1)) >> shift, _bounds(at, lengths, 3)))
+    five = three
+    for k in (3, 4):
+        five = five * np.uint32(0x85EBCA77) + points[k : n + k]
+    kinds.append(((five * np.uint32(0xC2B2AE3D)) >> shift, _bounds(at, lengths, 5)))
     starts, ends = word_spans(data)
     words = span_hashes(prefix_sums(data), starts, ends)
     word_bounds = np.searchsorted(starts, np.concatenate([begins, [len(data)]]))
@@ -80,6 +85,13 @@ def ngram_slots(texts_: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]
     return kinds, words, word_bounds
 
 
+def _code_points(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts, joined by line feeds, and the begin and length of each; bytes that aren't UTF-8 are U+FFFD."""
+    read = [t.decode("utf-8", "replace") for t in texts_]
+    lengths = np.array([len(t) for t in read], np.int64)
+    return np.frombuffer(("\n".join(read) + "\n" * 6).encode("utf-32-le"), np.uint32), np.cumsum(lengths + 1) - lengths - 1, lengths
+
+
 def _bounds(begins: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     """First and last + 1 of the n-grams of each text."""
     return np.stack([begins, begins + np.maximum(sizes - n + 1, 0)])
@@ -118,29 +130,32 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _sparse(texts_: list[bytes]):
-    """Rows, feature numbers and shares of all texts."""
-    rows, features, shares = [], [], []
-    for first, held in chunked(texts_):
+def features(texts_: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the numbers of its features, kind by kind, and their shares."""
+    out = []
+    for _, held in chunked(texts_):
         kinds, _, _ = ngram_slots(held)
-        for k, (slots, (a, b)) in enumerate(kinds):
-            for r, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        for r in range(len(held)):
+            numbers, shares = [np.empty(0, np.int32)], [np.empty(0, np.float32)]
+            for k, (slots, (a, b)) in enumerate(kinds):
+                x, y = int(a[r]), int(b[r])
                 if y > x:
                     slot, count = np.unique(slots[x:y], return_counts=True)
-                    rows.append(np.full(len(slot), first + r, np.int32))
-                    features.append((slot + (k << SLOT_BITS)).astype(np.int32))
+                    numbers.append((slot + (k << SLOT_BITS)).astype(np.int32))
                     shares.append((count / (y - x)).astype(np.float32))
-    return np.concatenate(rows), np.concatenate(features), np.concatenate(shares)
+            out.append((np.concatenate(numbers), np.concatenate(shares)))
+    return out
 
 
-def fit(texts_: list[bytes], good: np.ndarray, steps: int = 150, penalty: float = 1e-5) -> QualityModel:
-    """Full-batch gradient steps with momentum per weight (Adam); every fourth row calibrates."""
+def fit(found: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int = 150, penalty: float = 1e-5) -> QualityModel:
+    """From the features of each text: full-batch gradient steps with momentum per weight (Adam); every fourth row calibrates."""
     n = len(KINDS) << SLOT_BITS
     weights, share = np.zeros(n), float(np.clip(good.mean(), 1e-3, 1 - 1e-3)) if len(good) else 0.5
     prior = float(np.log(share / (1 - share)))
-    if len(good) < 8 or good.min() == good.max():
+    if len(good) < 8 or good.min() == good.max() or not any(len(numbers) for numbers, _ in found):
         return QualityModel(weights.reshape(len(KINDS), -1).astype(np.float32), prior, 1.0, 0.0)
-    rows, features, shares = _sparse(texts_)
+    rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(numbers) for numbers, _ in found])
+    features, shares = (np.concatenate(part) for part in zip(*found))
     held = np.arange(len(good)) % 4 == 3
     if good[held].min() == good[held].max() or good[~held].min() == good[~held].max():
         held[:] = False
@@ -189,15 +204,24 @@ def one_text_each(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, text in enumerate(batch.column("text").to_pylist()):
+            ids, labels = (batch.column(c).slice(row, 1) for c in ("doc_id", "label"))
+            packed = [pa.array([part.tobytes()]) for part in features([text or b""])[0]]
+            yield pa.RecordBatch.from_arrays([ids, labels, *packed], ["doc_id", "label", "numbers", "shares"])
+
+
 def _fit_group(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "text"], kind="stable")
-    model = fit([t or b"" for t in group["text"]], group["label"].to_numpy(float))
+    group = group.sort_values("doc_id", kind="stable")
+    found = [(np.frombuffer(n, np.int32), np.frombuffer(s, np.float32)) for n, s in zip(group["numbers"], group["shares"])]
+    model = fit(found, group["label"].to_numpy(float))
     return pd.DataFrame({"model": [model.pack()]})
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
     """Fit in one task, on the bounded sample; the model (1 MB) comes to the driver."""
-    sample = training_rows(docs, labels, "quality", rows)
+    sample = training_rows(docs, labels, "quality", rows).mapInArrow(_counted, "doc_id long, label int, numbers binary, shares binary")
     packed = sample.groupBy(F.lit(0).alias("all")).applyInPandas(_fit_group, "model binary").collect()
     return QualityModel.unpack(packed[0][0]) if packed else fit([], np.empty(0))
 

@@ -98,6 +98,26 @@ def test_base_counts():
         assert quality_rules.base_counts(words, text.encode()) == brute_counts(text)
 
 
+def test_character_ngrams_are_of_code_points():
+    held = [("né" * 40).encode(), b"", "日本語の文".encode() * 3, b"ab", b"\xff\xfe bad"]
+    kinds, _, _ = quality_rules.ngram_slots(held)
+    for (slots, (first, last)), n in zip(kinds[:2], (3, 5)):
+        for text, a, b in zip(held, first.tolist(), last.tolist()):
+            text = text.decode("utf-8", "replace")
+            grams = [text[k : k + n] for k in range(len(text) - n + 1)]
+            assert b - a == len(grams)
+            seen = {}
+            assert all(seen.setdefault(g, s) == s for g, s in zip(grams, slots[a:b].tolist()))
+            assert len(set(seen.values())) == len(seen)
+
+
+def test_a_very_long_labelled_text(spark, make_docs):
+    docs = make_docs(["good words here " * 3, "BAD ### " * 200_000] * 10)
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(20)], "doc_id long, quality int")
+    rows = quality_rules.quality_rules(docs, labels).collect()
+    assert all((r.good_probability > 0.5) == (r.doc_id % 2 == 0) for r in rows)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, make_docs):
     """Prose, shouting and symbols, and toxic words with many endings; labels for half of them."""
