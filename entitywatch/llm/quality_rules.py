@@ -160,19 +160,34 @@ def fit(found: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int
     if good[held].min() == good[held].max() or good[~held].min() == good[~held].max():
         held[:] = False
     active, column = np.unique(features, return_inverse=True)
+    by_column = np.argsort(column, kind="stable")
+    column_rows, column_shares = rows[by_column].astype(np.int64), shares[by_column]
+    column_starts = np.searchsorted(column[by_column], np.arange(len(active)))
+    filled, row_starts = np.unique(rows, return_index=True)
+    products = np.empty(len(rows))  # kept for all steps: making such arrays anew costs more than filling them
+
+    def sums(values: np.ndarray, at: np.ndarray, factors: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        np.take(values, at, out=products, mode="clip")
+        np.multiply(products, factors, out=products)
+        return np.add.reduceat(products, starts)
+
+    def scores() -> np.ndarray:
+        out = np.full(len(good), bias)
+        out[filled] += sums(weight, column, shares, row_starts)
+        return out
+
     weight, bias = np.zeros(len(active)), prior
     m, v = np.zeros(len(active)), np.zeros(len(active))
     scale = np.where(held, 0.0, np.where(good == 1, 0.5 / share, 0.5 / (1 - share)))
     scale /= scale.sum()
     for step in range(1, steps + 1):
-        score = np.bincount(rows, shares * weight[column], len(good)) + bias
-        error = (_sigmoid(score) - good) * scale
-        gradient = np.bincount(column, shares * error[rows], len(active)) + penalty * weight
+        error = (_sigmoid(scores()) - good) * scale
+        gradient = sums(error, column_rows, column_shares, column_starts) + penalty * weight
         bias -= 0.5 * error.sum()
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         weight -= 1.0 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weights[active] = weight
-    score = np.bincount(rows, shares * weight[column], len(good)) + bias
+    score = scores()
     part = held if held.any() else ~held
     slope, offset = _platt(score[part], good[part])
     return QualityModel(weights.reshape(len(KINDS), -1).astype(np.float32), bias, slope, offset)
