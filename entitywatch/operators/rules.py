@@ -8,7 +8,7 @@ from ..fixed import DAY, MINUTE, SECOND, WEEK
 from ..functions import is_failed, parse_device
 from . import baseline as bl
 from .features import movement
-from .windows import HOT_ROWS, sessions
+from .windows import HOT_ROWS, sessions, sweep
 
 
 def brute_force(
@@ -62,6 +62,26 @@ def credential_stuffing(
     )
 
 
+def credential_stuffing_sliding(
+    log: DataFrame, entities: int = 20, window: int = 10 * MINUTE, failures: float = 0.8, limit=HOT_ROWS
+) -> DataFrame:
+    """Events at which the window that ends there holds one address trying many entities, mostly failing.
+
+    Windows slide, so that a burst over the edge of a fixed window is found too. Busy addresses are cut into time chunks.
+    """
+    tried = log.filter(F.col("source_ip").isNotNull() & F.col("entity_id").isNotNull()).select(
+        "event_id", "source_ip", "entity_id", "timestamp", is_failed("session_duration").cast("bigint").alias("failure")
+    )
+    swept = sweep(
+        tried, sums={"events": (None, window), "failed": ("failure", window)},
+        mixes=[("entities", "entity_entropy", "entity_id", window)], key="source_ip", limit=limit,
+    )
+    found = swept.withColumn("failure_ratio", F.col("failed") / F.col("events"))
+    return found.filter((F.col("entities") >= entities) & (F.col("failure_ratio") >= failures)).select(
+        "event_id", "source_ip", F.unix_micros("timestamp").alias("end_us"), "entities", "events", "failure_ratio"
+    )
+
+
 def lateral_movement(
     log: DataFrame, baseline: bl.Baseline, steps: int = 5, gap: int = 5 * MINUTE, limit=HOT_ROWS
 ) -> DataFrame:

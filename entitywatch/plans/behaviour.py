@@ -432,6 +432,16 @@ STUFFING = sql(f"""SELECT us // {6 * HOUR} * {6 * HOUR} AS start_us, source_ip,
   round(avg(failed), 6) + 0.0 AS failure_ratio FROM base GROUP BY 1, 2 HAVING count(DISTINCT entity_id) >= 3 AND avg(failed) >= 0.3""", BASE)
 
 
+def stuffing_sliding(spark, sf_dir, limit=2_000_000):
+    found = ru.credential_stuffing_sliding(access_log(spark, sf_dir), 3, 6 * HOUR, 0.3, limit)
+    return tidy(found.withColumn("entities", F.col("entities").cast("bigint")).withColumn("events", F.col("events").cast("bigint")))
+
+
+STUFFING_SLIDING = sql(f"""SELECT event_id, source_ip, us AS end_us, entities, events, round(ratio, 6) + 0.0 AS failure_ratio FROM (
+  SELECT event_id, source_ip, us, count(DISTINCT entity_id) OVER w AS entities, count(*) OVER w AS events, avg(failed) OVER w AS ratio FROM base
+  WINDOW w AS (PARTITION BY source_ip ORDER BY us RANGE BETWEEN {6 * HOUR - 1} PRECEDING AND CURRENT ROW)) WHERE entities >= 3 AND ratio >= 0.3""", BASE)
+
+
 def lateral(spark, sf_dir, limit=2_000_000):
     log = access_log(spark, sf_dir)
     return tidy(ru.lateral_movement(log, fitted(log), 2, 3 * DAY, limit))
@@ -760,6 +770,8 @@ QUERIES = {
     "r1_brute_force_split": (lambda s, d: brute_force(s, d, 2), BRUTE),
     "r2_impossible_travel": (travel, TRAVEL),
     "r3_credential_stuffing": (stuffing, STUFFING),
+    "r3_stuffing_sliding": (stuffing_sliding, STUFFING_SLIDING),
+    "r3_stuffing_sliding_split": (lambda s, d: stuffing_sliding(s, d, 20), STUFFING_SLIDING),
     "r4_lateral_movement": (lateral, LATERAL),
     "r5_device_spoofing": (spoofing, SPOOFING),
     "r6_low_and_slow": (slow, SLOW),

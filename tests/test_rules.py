@@ -35,6 +35,17 @@ def test_credential_stuffing(make_log):
     assert ru.credential_stuffing(make_log({**tries[0], "duration": 9.0}, *tries[1:])).count() == 0
 
 
+def test_credential_stuffing_over_the_edge_of_a_window(make_log):
+    tries = [{"at": 590 + i, "event_id": i, "entity_id": f"usr_{i}", "duration": 0.5 if i < 16 else 9.0} for i in range(20)]
+    log = make_log(*tries, {"at": 591, "event_id": 99, "entity_id": None})
+    assert ru.credential_stuffing(log).count() == 0
+    for limit in (None, 5):
+        found = ru.credential_stuffing_sliding(log, limit=limit).collect()
+        assert [(r.event_id, r.entities, r.events, r.failure_ratio) for r in found] == [(19, 20, 20, 0.8)]
+    far = make_log(*tries[:19], {**tries[19], "at": 591 + 600})
+    assert ru.credential_stuffing_sliding(far).count() == 0
+
+
 def test_lateral_movement(make_log):
     base = bl.fit_baseline(make_log({"resource": "home"}))
     steps = [{"at": 300 * i, "resource": f"r{i}"} for i in range(5)]
