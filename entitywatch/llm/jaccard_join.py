@@ -11,9 +11,10 @@ through shared shingles:
    documents finds them): a passage that stands in many documents then makes no region of them. The rest of the order
    is that of hashes, so the first shingles are a random sample of the set and a partner shares about 0.8 of them; a
    class goes on only if it shares as many as a partner would leave with a chance of 1 - 10**-12 (see `least_shared`).
-3. A region is joined recursively: classes within the radius of the pivot link to it and leave; of these only those
-   stay as guests that the triangle inequality allows to reach a class outside, i.e. whose distance to the pivot
-   differs from that of an outer class by no more than the radius; the outer classes get a new pivot.
+3. A region is joined recursively: classes within the radius of the pivot link to it and form its group. Classes stay
+   as long as the triangle inequality allows them to reach one of another group, i.e. as their distance to the pivot
+   differs from that of such a class by no more than the radius. The next pivot is a class without a group; when there
+   are none, one of the smallest group, until one group is left.
 4. Regions too large for one task are split by hash; every part gets the pivot and does one step of 3 in its own task,
    and the remainder is joined again. If a step removes little, pairs of parts are joined as regions of their own.
 
@@ -176,30 +177,51 @@ def _distances(inverse: np.ndarray, starts: np.ndarray, sizes: np.ndarray, mark:
     return both, union, 1.0 - both / union
 
 
-def region_links(ids: np.ndarray, sets: list[np.ndarray], guest: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (a, b) that connect all members within the radius, by pivots in turn; guests need none among themselves."""
+def _others(distance: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member the least and the greatest distance of members of other groups; infinite where there are none."""
+    ends = []
+    for values in (distance, -distance):
+        first = int(values.argmin())
+        rest = values[group != group[first]]
+        ends.append(np.where(group == group[first], rest.min() if rest.size else np.inf, values[first]))
+    return ends[0], -ends[1]
+
+
+def region_links(ids: np.ndarray, sets: list[np.ndarray], group: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (a, b) that connect all members within the radius, by pivots in turn.
+
+    Members of one group (0: none yet) are connected already and need no links among themselves. Those that link to a
+    pivot come to its group; they are compared on with members of other groups as long as such are within reach.
+    """
     radius = 1 - percent / 100 + 1e-9
     links, live = [], np.ones(len(ids), bool)
-    guest = guest.copy()
+    guest = np.asarray(group) != 0
+    group = np.unique(np.where(guest, group, ids), return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets], np.int64)
     inverse = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     mark = np.zeros(int(inverse.max()) + 1, bool)
-    while (outer := np.flatnonzero(live & ~guest)).size:
-        pivot = outer[0]
+    while (left := np.flatnonzero(live)).size and (group[left] != group[left[0]]).any():
+        outer = left[~guest[left]]
+        if outer.size:
+            pivot = outer[0]
+        else:  # one of the smallest group
+            pivot = left[np.bincount(group[left])[group[left]].argmin()]
         both, union, distance = _distances(inverse, starts, sizes, mark, pivot)
-        near = live & (100 * both >= percent * union)
-        near[pivot] = False
+        near = live & (100 * both >= percent * union) & (group != group[pivot])
         links += [(int(ids[pivot]), int(x)) for x in ids[near]]
+        if near.any():
+            group[np.isin(group, group[near])] = group[pivot]
         live[pivot] = False
         guest |= near
-        far = distance[live & ~guest]
-        if far.size:  # a guest can only reach an outer member at a distance to the pivot like its own
-            live &= ~guest | ((distance >= far.min() - radius) & (distance <= far.max() + radius))
+        left = np.flatnonzero(live)
+        if left.size:  # a member can only reach others at a distance to the pivot like its own
+            low, high = _others(distance[left], group[left])
+            live[left] = (distance[left] >= low - radius) & (distance[left] <= high + radius)
         if 2 * live.sum() < len(live) and live.any():
             kept = np.flatnonzero(live)
             inverse = np.concatenate([inverse[starts[k] : starts[k] + sizes[k]] for k in kept])
-            ids, sizes, guest, live = ids[kept], sizes[kept], guest[kept], live[kept]
+            ids, sizes, guest, group, live = ids[kept], sizes[kept], guest[kept], group[kept], live[kept]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     return links
 
@@ -208,20 +230,20 @@ def _join_region(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cls", kind="stable")
         sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-        links = region_links(group["cls"].to_numpy(), sets, group["guest"].to_numpy(bool), percent)
+        links = region_links(group["cls"].to_numpy(), sets, group["grp"].to_numpy(np.int64), percent)
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return run
 
 
 def _pivot_step(percent: int):
-    """One pivot against one part of a large region: rows (cls, guest, both, union)."""
+    """One pivot against one part of a large region: rows (cls, group, near, distance)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         pivot = np.frombuffer(group["pivot_set"].iloc[0], np.uint64)
         both = np.array([np.isin(np.frombuffer(s, np.uint64), pivot, assume_unique=True).sum() for s in group["shingles"]], np.int64)
         union = group["n"].to_numpy() + len(pivot) - both
-        return pd.DataFrame({"region": group["region"], "pivot": group["pivot"], "cls": group["cls"], "guest": group["guest"],
+        return pd.DataFrame({"region": group["region"], "pivot": group["pivot"], "pivot_grp": group["pivot_grp"], "cls": group["cls"], "grp": group["grp"],
                              "near": 100 * both >= percent * union, "distance": 1.0 - both / union})
 
     return run
@@ -230,32 +252,43 @@ def _pivot_step(percent: int):
 def _strip_large(members: DataFrame, sets: DataFrame, percent: int, limit: int):
     """Split off what one task can't hold. Returns members of regions that fit, and link tables found on the way."""
     fits, found, before = [], [], None
+    radius = 1 - percent / 100 + 1e-9
+    kind = F.when(F.col("grp") == 0, F.col("cls")).otherwise(F.col("grp"))
     while True:
         weighed = members.join(sets.select("cls", "n"), "cls")
-        totals = weighed.groupBy("region").agg(F.sum("n").alias("total"), F.min(F.when(~F.col("guest"), F.col("cls"))).alias("pivot"), F.count(F.when(~F.col("guest"), 1)).alias("outer"))
-        totals = materialize(totals.where("outer > 0"), "regions")
+        totals = weighed.groupBy("region").agg(
+            F.sum("n").alias("total"), F.min(F.struct(F.col("grp") != 0, "cls", "grp")).alias("first"), F.min(kind).alias("low"), F.max(kind).alias("high"),
+            (F.count(F.lit(1)) + F.count(F.when(F.col("grp") == 0, 1))).alias("work"))
+        totals = materialize(totals.where("low <> high").select("region", "total", "work", F.col("first.cls").alias("pivot"), F.col("first.grp").alias("pivot_grp")), "regions")
         fits.append(members.join(totals.where(F.col("total") <= limit).select("region"), "region"))
         large = totals.where(F.col("total") > limit)
-        state = large.agg(F.sum("outer")).first()[0]
+        state = large.agg(F.sum("work")).first()[0]
         if not state:
             return fits, found
         if before is not None and state > 0.9 * before:
             parts = F.ceil(2 * F.col("total") / limit).cast("int")
-            split = members.join(large, "region").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            fits.append(split.select(F.xxhash64("region", F.least("part", "other"), F.greatest("part", "other")).alias("region"), "cls", "guest").distinct())
+            split = members.join(large.select("region", "total"), "region").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            fits.append(split.select(F.xxhash64("region", F.least("part", "other"), F.greatest("part", "other")).alias("region"), "cls", "grp").distinct())
             return fits, found
         before = state
-        pivots = large.join(sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot")
+        pivots = large.select("region", "total", "pivot", F.when(F.col("pivot_grp") == 0, F.col("pivot")).otherwise(F.col("pivot_grp")).alias("pivot_grp"))
+        pivots = pivots.join(sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot")
         parts = F.ceil(2 * F.col("total") / limit)
         spread = members.join(pivots, "region").join(sets, "cls").withColumn("part", F.pmod(F.xxhash64("cls"), parts))
         step = materialize(
-            spread.groupBy("region", "part").applyInPandas(_pivot_step(percent), "region long, pivot long, cls long, guest boolean, near boolean, distance double"), "step")
+            spread.groupBy("region", "part").applyInPandas(_pivot_step(percent), "region long, pivot long, pivot_grp long, cls long, grp long, near boolean, distance double"), "step")
         step = step.where("cls <> pivot")
         found.append(step.where("near").select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
-        edge = step.where("not near and not guest").groupBy("region").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
-        radius = 1 - percent / 100 + 1e-9
+        # what links to the pivot, and the groups of such members, come to the pivot's group
+        merged = step.where("near and grp <> 0").select("region", "grp", F.lit(True).alias("joins")).distinct()
+        step = step.join(merged, ["region", "grp"], "left")
+        step = step.withColumn("grp", F.when(F.col("joins") | F.col("near"), F.col("pivot_grp")).otherwise(F.col("grp")))
+        ends = step.groupBy("region", "grp").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
+        other = ends.select(F.col("region").alias("_region"), F.col("grp").alias("_grp"), "low", "high")
+        edge = ends.select("region", "grp").join(other, (F.col("region") == F.col("_region")) & ((F.col("grp") == 0) | (F.col("grp") != F.col("_grp"))))
+        edge = edge.groupBy("region", "grp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         members = materialize(
-            step.join(edge, "region").where(F.col("distance").between(F.col("low") - radius, F.col("high") + radius)).select("region", "cls", (F.col("guest") | F.col("near")).alias("guest")), "members")
+            step.join(edge, ["region", "grp"]).where(F.col("distance").between(F.col("low") - radius, F.col("high") + radius)).select("region", "cls", "grp"), "members")
 
 
 def _regions(tokens: DataFrame) -> DataFrame:
@@ -287,7 +320,7 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, regi
     tokens = materialize(rows.select("text").mapInArrow(_prefixes(size, percent, levels), "token long, cls long, common boolean, need int"), "prefixes")
     tokens = materialize(_enough(_regions(tokens)), "shared")
     tokens = _regions(_enough(_regions(tokens)))
-    members = materialize(tokens.select("region", "cls").distinct().withColumn("guest", F.lit(False)), "members")
+    members = materialize(tokens.select("region", "cls").distinct().withColumn("grp", F.lit(0).cast("long")), "members")
     wanted = members.select("cls").distinct()
     chosen = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls", "left_semi").select(F.xxhash64("doc_id").alias("id_hash"))
     bits = spark.sparkContext.broadcast(bitmap(chosen, "id_hash"))

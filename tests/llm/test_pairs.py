@@ -1,6 +1,7 @@
 """Jaccard join, passages and repeats against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -104,6 +105,24 @@ def test_triangle_windows_lose_no_link():
     assert groups(jaccard_join.region_links(ids, sets, np.zeros(60, bool))) == groups(brute)
 
 
+def test_members_of_two_pivots_are_compared():
+    """A chain in which only neighbours link: whatever the order, its parts around different pivots are connected."""
+    sets = [np.arange(11 * k, 11 * k + 100).astype(np.uint64) for k in range(6)]
+    for order in itertools.permutations(range(6)):
+        links = jaccard_join.region_links(np.arange(6), [sets[k] for k in order], np.zeros(6, np.int64))
+        reached = {0}
+        for _ in range(6):
+            reached |= {x for pair in links if reached & set(pair) for x in pair}
+        assert reached == set(range(6))
+
+
+@pytest.mark.parametrize("region_shingles", [4_000_000, 450, 150])
+def test_chains_stay_whole(make_docs, region_shingles):
+    texts = [" ".join(f"c{c}w{k}" for k in range(11 * n, 11 * n + 104)) for n in range(6) for c in range(12)]
+    rows = jaccard_join.document_components(make_docs(texts), region_shingles=region_shingles).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {k: k % 12 for k in range(72)}
+
+
 def removed(texts, length):
     counts = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     for t in texts:
