@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,21 @@ def test_forest_and_its_attribution(spark):
     assert [(r.event_id, r.attack_type) for r in one] == [(210, "brute_force")]
 
 
+def test_path_sums_of_a_tree_are_those_of_its_steps(spark):
+    shares = np.random.default_rng(5).dirichlet(np.ones(3), 7)
+    feature, threshold = np.array([1, 0, -1, -1, 1, -1, -1]), np.array([0.5, 0.2, 0.0, 0.0, 0.8, 0.0, 0.0])
+    left, right = np.array([1, 2, -1, -1, 5, -1, -1]), np.array([4, 3, -1, -1, 6, -1, -1])
+    parts, depth = ex._leaf_parts((feature, threshold, left, right, shares), 2)
+    assert depth == 2
+    np.testing.assert_allclose(parts[6, 1], [0, shares[6, 1] - shares[0, 1], shares[0, 1]])  # both steps split on 1
+    np.testing.assert_allclose(parts[2, 0], [shares[2, 0] - shares[1, 0], shares[1, 0] - shares[0, 0], shares[0, 0]])
+    stump = (np.array([-1]), np.array([0.0]), np.array([-1]), np.array([-1]), np.array([[0.25, 0.5, 0.25]]))
+    attribute = ex.tree_contributions([(feature, threshold, left, right, shares), stump], 2).func
+    points, classes = pd.Series([[0.1, 0.9], [0.2, 0.5], [float("nan"), 0.3]]), pd.Series([1, 0, 2])
+    for told, leaf, c in zip(attribute(points, classes), (6, 2, 3), classes):
+        np.testing.assert_allclose(told, (parts[leaf, c] + [0, 0, (0.25, 0.5, 0.25)[c]]) / 2)
+
+
 def test_detector_finds_a_planted_signal(spark, make_log):
     events = [{"at": i * 60 + e, "event_id": e * 60 + i, "entity_id": f"usr_{e}"} for e in range(8) for i in range(60)]
     rows = make_log(*events).withColumn("y", (F.col("event_id") % 60 % 7 == 0).cast("int"))
