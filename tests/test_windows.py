@@ -126,3 +126,12 @@ def test_hot_keys_are_counted(make_log):
     hot = wd.hot_keys(log, limit=10).collect()
     assert [(r.entity_id, r._width) for r in hot] == [("usr_1", HOUR * 10 // 30)]
     assert wd.hot_keys(log, limit=30) is None
+
+
+def test_rows_of_a_task_are_bounded(make_log, monkeypatch):
+    """The windows' tasks grow in number with the rows, not in size."""
+    monkeypatch.setattr(wd, "TASK_ROWS", 10)
+    log = make_log(*[{"at": i, "event_id": i, "entity_id": f"usr_{i % 50}"} for i in range(200)])
+    assert wd.sized(log) == (None, 20)
+    for rows in (wd.sweep(log, number="n"), wd.sweep(log, sums={"n": (None, 60)}), wd.trailing(log, F.col("event_id"), 3), wd.sessions(log, 60)):
+        assert rows.rdd.getNumPartitions() == 20
