@@ -190,6 +190,19 @@ def test_reference_points_prune_in_many_dimensions(spark):
         assert [float(np.linalg.norm(np.array(n) - points[r.event_id])) for n in r.neighbours] == pytest.approx(gaps.tolist())
 
 
+def test_rows_of_blocks_with_few_others_do_not_visit_all_cells(spark):
+    """Blocks of some four rows hold too few for five neighbours: the windows of the cells still tell how far these may lie."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(600, 2)) * np.array([1000.0, 1.0])
+    ids = [i // 2 if i < 40 else i for i in range(600)]  # some ids twice: no row has itself or its namesake as neighbour
+    rows = spark.createDataFrame([(i, "normal", *map(float, p)) for i, p in zip(ids, points)], "event_id long, label string, a double, b double")
+    assert near.visited_share(rows, names=NAMES, block_rows=4).first().visited < 0.3
+    found = {r.event_id: r for r in near.neighbours(rows, names=NAMES, block_rows=4).collect()}
+    for i in range(40, 600):
+        gaps = np.sort(np.sqrt(((np.delete(points, i, 0) - points[i]) ** 2).sum(axis=1)))[:5]
+        assert [float(np.linalg.norm(np.array(n) - points[i])) for n in found[i].neighbours] == pytest.approx(gaps.tolist())
+
+
 @pytest.mark.parametrize("rows", [[(1, "a", 0.0, 0.0)], [(i, "a", 1.0, 1.0) for i in range(60)], []])
 def test_neighbours_of_single_and_equal_rows(spark, rows):
     table = spark.createDataFrame(rows, "event_id long, label string, a double, b double")
