@@ -159,12 +159,22 @@ def fit(found: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int
     held = np.arange(len(good)) % 4 == 3
     if good[held].min() == good[held].max() or good[~held].min() == good[~held].max():
         held[:] = False
-    active, column = np.unique(features, return_inverse=True)
-    by_column = np.argsort(column, kind="stable")
+    # Only what the steps need is kept, as all n-grams of the sample are held at once.
+    present = np.bincount(features, minlength=n)
+    active = np.flatnonzero(present)
+    column_starts = np.cumsum(present[active]) - present[active]
+    by_column = np.argsort(features, kind="stable")
     column_rows, column_shares = rows[by_column].astype(np.int64), shares[by_column]
-    column_starts = np.searchsorted(column[by_column], np.arange(len(active)))
-    filled, row_starts = np.unique(rows, return_index=True)
-    products = np.empty(len(rows))  # kept for all steps: making such arrays anew costs more than filling them
+    del by_column
+    number = np.zeros(n, np.int64)
+    number[active] = np.arange(len(active))
+    column = number[features]
+    del features
+    sizes = np.bincount(rows, minlength=len(good))
+    del rows
+    filled = np.flatnonzero(sizes)
+    row_starts = np.cumsum(sizes[filled]) - sizes[filled]
+    products = np.empty(len(column))  # kept for all steps: making such arrays anew costs more than filling them
 
     def sums(values: np.ndarray, at: np.ndarray, factors: np.ndarray, starts: np.ndarray) -> np.ndarray:
         np.take(values, at, out=products, mode="clip")

@@ -1,15 +1,17 @@
 """Mixing, sharding, decontamination and the pipeline."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from entitywatch.llm import decontamination, mixing, sharding
+from entitywatch.llm import decontamination, mixing, quality_rules, sharding
 from entitywatch.llm.common import keyed, materialize, row_key, spread
 from entitywatch.llm.queries import QUERIES
 
@@ -309,3 +311,15 @@ def test_pipeline(spark, tmp_path, make_docs):
 def test_every_operator_is_registered():
     assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "decontamination", "mix_sources", "sharding"]
+
+
+def test_the_fit_holds_little_beside_its_counts():
+    """All n-grams of the sample lie in one task: the fit may take 48 bytes for each of them, sorting included."""
+    rng = np.random.default_rng(2)
+    found = [(np.unique(rng.integers(0, 4 << quality_rules.SLOT_BITS, 3000)).astype(np.int32),) for _ in range(1000)]
+    found = [(numbers, np.full(len(numbers), 1e-3, np.float32)) for numbers, in found]
+    tracemalloc.start()
+    quality_rules.fit(found, (np.arange(1000) % 3 == 0).astype(float), steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * sum(len(numbers) for numbers, _ in found)
