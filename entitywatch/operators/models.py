@@ -115,7 +115,7 @@ def fit_detector(sequences: DataFrame, label: str = "y", iterations: int = 20) -
 
     The focal factor (1 - p of the true class) ^ gamma stands for the focal loss, whose
     cross-entropy part is the classifier's own. Each class keeps its total weight, so that
-    scores stay comparable with the share of positives.
+    scores stay comparable with the share of positives. The factors, one row per class, go to the rows.
     """
     rows = sequences.select(_vector().alias("x"), F.col(label).cast("double").alias("y"), "decay")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -126,7 +126,7 @@ def fit_detector(sequences: DataFrame, label: str = "y", iterations: int = 20) -
         hard = F.pow(F.when(F.col("y") == 1, 1 - risk).otherwise(risk), F.lit(FOCAL_GAMMA))
         second = first.transform(rows).select("x", "y", "decay", (F.col("decay") * hard).alias("w"))
         share = second.groupBy("y").agg((F.sum("decay") / F.sum("w")).alias("share"))
-        second = second.join(share, "y").withColumn("w", F.col("w") * F.col("share"))
+        second = second.join(F.broadcast(share), "y").withColumn("w", F.col("w") * F.col("share"))
         return fit.fit(second.select("x", "y", "w"))
     finally:
         rows.unpersist()

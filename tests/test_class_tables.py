@@ -47,6 +47,13 @@ def test_joins_by_class_leave_rows_where_they_are(spark, rows, without_small_tab
         assert sum(sizes) == 600 and len(sizes) == PARTS and max(sizes) <= 110
 
 
+def test_both_passes_of_the_detector_leave_rows_where_they_are(rows, without_small_tables, monkeypatch):
+    seen, fit = [], mo.LogisticRegression.fit
+    monkeypatch.setattr(mo.LogisticRegression, "fit", lambda self, data: seen.append(_sizes(data)) or fit(self, data))
+    mo.fit_detector(rows)
+    assert len(seen) == 2 and all(sum(s) == 600 and len(s) == PARTS and max(s) <= 110 for s in seen)
+
+
 def test_forest_rows_are_dealt_evenly_and_in_a_fixed_order(spark, rows, without_small_tables, monkeypatch):
     seen = []
     monkeypatch.setattr(mo.RandomForestClassifier, "fit", lambda self, data: seen.append(data))
