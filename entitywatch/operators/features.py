@@ -139,7 +139,7 @@ def build_features(
 ) -> DataFrame:
     """All features per event, in vector order after the `keep` columns.
 
-    The log is read up to three times: for busy entities and the number of tasks (unless `hot` or `tasks`, the results of
+    The log is read up to three times, and once more to cut busy entities: for busy entities and the number of tasks (unless `hot` or `tasks`, the results of
     `sized`, are given), for the distinct devices and commands, and for the rows. Ordinary entities need one wide shuffle, by entity: lookups, spreads and all windows work on rows
     that lie together. Hot entities are cut into time chunks, and their lookups are plain joins that adaptive execution
     splits. A stored baseline (`store_baseline`) isn't computed again.
@@ -172,7 +172,7 @@ def build_features(
         return sweep(found, **wanted, arranged=True, keep=kept)
 
     def joined(part: DataFrame, table: DataFrame) -> DataFrame:
-        found = sweep(part, **wanted, hot=hot).join(baseline.homes, "entity_id", "left")
+        found = sweep(part, **wanted, hot=hot, only_hot=True).join(baseline.homes, "entity_id", "left")
         found = found.join(bl.duration_spread(part), "entity_id", "left")
         for column, names in bl.LOOKED_UP.items():
             values = table.filter(F.col(column).isNotNull()).select("entity_id", column, *names)

@@ -17,10 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed import HOUR
+from ..session import materialize
 
 HOT_ROWS = 2_000_000
 #: Rows that one task is given where windows run; their sorts and buffers take some kilobytes a row.
 TASK_ROWS = 50_000
+#: Rows of a hot key that one chunk is given at most, unless a microsecond has more; several chunks fill a task evenly.
+CHUNK_ROWS = 12_500
+#: Chunks are tried up to 2 ** MOST_DOUBLINGS hours.
+MOST_DOUBLINGS = 14
+#: Hot keys beyond which their table is stored instead of collected.
+COLLECTED_KEYS = 10_000
 _SCALE = 1_000_000_000
 
 
@@ -29,26 +36,49 @@ def _keys(key) -> list[str]:
 
 
 def hot_keys(df: DataFrame, key="entity_id", time="timestamp", limit: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than `limit` rows and the chunk width that keeps their busiest hour near it.
+    """Keys with more than `limit` rows and a chunk width that keeps their chunks below it.
 
-    Runs one counting job over the key and time columns. No more than rows / limit keys can
-    qualify, so the answer is small enough to hold and to broadcast. None if there are none.
+    Runs one counting job over the key and time columns, and a second one if there are hot keys. No more than rows / limit
+    keys can qualify, so the answer is small enough to broadcast. None if there are none.
     """
     return sized(df, key, time, limit)[0]
 
 
 def sized(df: DataFrame, key="entity_id", time="timestamp", limit: int = HOT_ROWS) -> tuple[DataFrame | None, int]:
-    """`hot_keys` and the tasks that all rows are to be dealt to, from one counting job."""
+    """`hot_keys` and the tasks that all rows are to be dealt to, from the same counting job."""
     keys = _keys(key)
     hourly = df.groupBy(*keys, F.floor(F.unix_micros(time) / HOUR).alias("_hour")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    counts = hourly.groupBy(*keys).agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_peak"))
-    width = F.greatest(F.lit(1), F.floor(F.lit(HOUR) * F.lit(limit) / F.col("_peak")))
-    hot = counts.select(*keys, width.cast("bigint").alias("_width"))
-    busy = F.collect_list(F.when(F.col("_rows") > limit, F.struct(*keys, width.cast("bigint").alias("_width"))))
-    found = counts.agg(F.sum("_rows").alias("rows"), busy.alias("busy")).first()
-    return df.sparkSession.createDataFrame(found["busy"], hot.schema) if found["busy"] else None, tasks_for(df, found["rows"] or 0)
+    counts = hourly.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
+    found = counts.agg(F.sum("_rows").alias("rows"), F.count_if(F.col("_rows") > limit).alias("busy")).first()
+    hot = _chunk_widths(hourly, keys, limit) if found["busy"] else None
+    if hot is not None:
+        few = found["busy"] <= COLLECTED_KEYS
+        hot = df.sparkSession.createDataFrame(hot.collect(), hot.schema) if few else materialize(hot, "hot_keys")
+    return hot, tasks_for(df, found["rows"] or 0, TASK_ROWS)
+
+
+def _chunk_widths(hourly: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Hot keys and the widest chunks found that hold no more rows than wanted.
+
+    The busiest hour at full length gives a width that is surely narrow enough; a key whose rows are scattered would be
+    cut into many nearly empty chunks by that. So wider ones, hours times powers of two, are tried on the hourly counts.
+    """
+    each, own = min(limit, CHUNK_ROWS), Window.partitionBy(*keys)
+    busy = hourly.withColumns({
+        "_rows": F.sum("_n").over(own),
+        "_peak": F.max("_n").over(own),
+        "_span": F.max("_hour").over(own) - F.min("_hour").over(own),
+    }).filter(F.col("_rows") > limit)
+    sure = F.greatest(F.lit(1), F.floor(F.lit(HOUR) * F.lit(each) / F.col("_peak"))).cast("bigint")
+    hours = F.transform(F.sequence(F.lit(1), F.lit(MOST_DOUBLINGS)), lambda k: F.pow(F.lit(2), k).cast("bigint"))
+    tried = F.filter(hours, lambda h: (h * HOUR > F.col("_width")) & (h <= F.col("_span")))
+    busy = busy.withColumn("_width", sure).select(*keys, "_width", "_hour", "_n", F.explode_outer(tried).alias("_hours"))
+    chunks = busy.groupBy(*keys, "_width", "_hours", F.floor(F.col("_hour") / F.col("_hours")).alias("_chunk")).agg(F.sum("_n").alias("_n"))
+    widest = chunks.groupBy(*keys, "_width", "_hours").agg(F.max("_n").alias("_n"))
+    wide = F.max(F.when(F.col("_n") <= each, F.col("_hours") * HOUR))
+    return widest.groupBy(*keys).agg(F.greatest(F.max("_width"), wide).alias("_width"))
 
 
 def tasks_for(df: DataFrame, rows: int, each: int = TASK_ROWS) -> int:
@@ -91,6 +121,7 @@ def sweep(
     arranged: bool = False,
     keep: list[str] | None = None,
     tasks: int | None = None,
+    only_hot: bool = False,
 ) -> DataFrame:
     """Add trailing-window columns to every row, with one shuffle of the rows.
 
@@ -103,6 +134,7 @@ def sweep(
     arranged  the rows lie together by key already; used if no key is hot
     keep    columns to return beside the keys and the new ones; all by default
     tasks   tasks to deal the rows to, if `hot` is given or `limit` is None
+    only_hot  all rows are of the keys in `hot`, so that no others are looked for
     """
     keys = _keys(key)
     if hot is None and limit is not None:
@@ -110,6 +142,8 @@ def sweep(
     wanted = dict(sums=sums or {}, mixes=list(mixes), lags=lags or {}, number=number, time=time, event=event, keep=keep, tasks=tasks)
     if hot is None:
         return _sweep(df if arranged else _dealt(df, keys, tasks), keys, False, **wanted)
+    if only_hot:
+        return _sweep(df.join(F.broadcast(hot), keys), keys, True, **wanted)
     cold, split = split_hot(df, hot, keys)
     return _sweep(_dealt(cold, keys, tasks), keys, False, **wanted).unionByName(_sweep(split, keys, True, **wanted))
 
@@ -254,7 +288,7 @@ def _carry_rows(
             .withColumn("_after", F.sum("_net").over(so_far))
             .withColumn("_before", after - F.col("_net"))
         )
-        carries.append(counts.select(*chunk, *first, f"_v{i}", before.alias(f"_open{i}")))
+        carries.append(counts.filter(before > 0).select(*chunk, *first, f"_v{i}", before.alias(f"_open{i}")))
         flows = counts.groupBy(*chunk).agg(
             F.sum(_weight(after) - _weight(before)).alias(f"_flow{i}"),
             F.sum((after > 0).cast("bigint") - (before > 0).cast("bigint")).alias(f"_new{i}"),

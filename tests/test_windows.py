@@ -135,3 +135,25 @@ def test_rows_of_a_task_are_bounded(make_log, monkeypatch):
     assert wd.sized(log) == (None, 20)
     for rows in (wd.sweep(log, number="n"), wd.sweep(log, sums={"n": (None, 60)}), wd.trailing(log, F.col("event_id"), 3), wd.sessions(log, 60)):
         assert rows.rdd.getNumPartitions() == 20
+
+
+def test_scattered_rows_of_a_hot_key_get_wide_chunks(make_log):
+    log = make_log(*[{"at": 36000 * i, "entity_id": "usr_1"} for i in range(80)])
+    width = wd.hot_keys(log, limit=20).first()._width
+    sizes = Counter(36000 * i * SECOND // width for i in range(80))
+    assert max(sizes.values()) <= 20 and len(sizes) <= 8  # 10 hours, the busiest hour at full length, would make 40
+
+
+def test_chunks_hold_less_than_a_task(make_log, monkeypatch):
+    monkeypatch.setattr(wd, "CHUNK_ROWS", 5)
+    log = make_log(*[{"at": 3600 * i, "entity_id": "usr_1"} for i in range(40)])
+    assert wd.hot_keys(log, limit=30).first()._width <= 5 * HOUR
+
+
+def test_many_hot_keys_are_stored(make_log, column, monkeypatch):
+    rows, log = _random_log(make_log, 3)
+    names = [*ft.FREQUENCIES, *ft.FAILURES]
+    expected = column(ft.rolling_counts(log, None), *names)
+    monkeypatch.setattr(wd, "COLLECTED_KEYS", 0)
+    assert wd.hot_keys(log, limit=3).inputFiles()
+    assert column(ft.rolling_counts(log, 3), *names) == expected
