@@ -52,11 +52,12 @@ def sized(df: DataFrame, key="entity_id", time="timestamp", limit: int = HOT_ROW
     )
     counts = hourly.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
     found = counts.agg(F.sum("_rows").alias("rows"), F.count_if(F.col("_rows") > limit).alias("busy")).first()
-    hot = _chunk_widths(hourly, keys, limit) if found["busy"] else None
+    tasks = tasks_for(df, found["rows"] or 0, TASK_ROWS)
+    hot = _chunk_widths(_dealt(hourly, keys, tasks), keys, limit) if found["busy"] else None
     if hot is not None:
         few = found["busy"] <= COLLECTED_KEYS
         hot = df.sparkSession.createDataFrame(hot.collect(), hot.schema) if few else materialize(hot, "hot_keys")
-    return hot, tasks_for(df, found["rows"] or 0, TASK_ROWS)
+    return hot, tasks
 
 
 def _chunk_widths(hourly: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -214,7 +215,7 @@ def _sweep(
     }
     rows = marks
     if chunked:
-        for carry in _carry_rows(marks, keys, steps, len(mixes), bool(lags)):
+        for carry in _carry_rows(marks, keys, steps, len(mixes), bool(lags), tasks):
             rows = rows.unionByName(carry, allowMissingColumns=True)
         rows = _dealt(rows, place, tasks)
         steps = {n: F.when(kind == -1, F.col(f"_c{n}")).otherwise(step) for n, step in steps.items()}
@@ -263,7 +264,7 @@ def _sweep(
 
 
 def _carry_rows(
-    marks: DataFrame, keys: list[str], steps: dict[str, Column], mixes: int, lags: bool
+    marks: DataFrame, keys: list[str], steps: dict[str, Column], mixes: int, lags: bool, tasks: int | None
 ) -> list[DataFrame]:
     """State before each chunk of the hot keys, as rows that sort ahead of the chunk."""
     split = marks.filter(F.col("_width").isNotNull())
@@ -274,8 +275,13 @@ def _carry_rows(
     summary = split.groupBy(*chunk).agg(
         F.sum(events).alias("_number"),
         *[F.sum(step).alias(name) for name, step in steps.items()],
-        *([F.max_by("_last", F.when(F.col("_kind") == 0, F.struct("_at", "_id"))).alias("_last")] if lags else []),
     )
+    if lags:
+        # Dealt out first: max_by of structs sorts its rows, which may be very many where a file is read.
+        ends = split.filter(F.col("_kind") == 0).select(*chunk, "_at", "_id", "_last")
+        ends = _dealt(ends, [*keys, "_chunk"], tasks).groupBy(*chunk)
+        ends = ends.agg(F.max_by("_last", F.struct("_at", "_id")).alias("_last"))
+        summary = summary.unionByName(ends, allowMissingColumns=True)
     added, carries = ["_number", *steps], []
     for i in range(mixes):
         so_far = Window.partitionBy(*keys, f"_v{i}").orderBy("_chunk")
