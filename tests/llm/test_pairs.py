@@ -299,3 +299,36 @@ def test_passages_side_by_side_in_one_text():
 def test_passages_of_odd_tables(odd_docs, no_docs):
     assert passages.passages(odd_docs)[0].where("similarity < 0.8").count() == 0
     assert passages.passages(no_docs)[0].count() == 0
+
+
+def test_representatives_with_a_part_of_a_passage_hide_no_pair(make_docs):
+    """Pairs of texts share 60 words; six others have only 44 of these, too few for a passage of their own."""
+    rng, texts = np.random.default_rng(5), []
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 10**9, n)]
+
+    for _ in range(40):
+        common = words(44)
+        passage = words(8) + common + words(8)
+        texts += [" ".join(words(40) + passage + words(40)) for _ in range(2)]
+        texts += [" ".join(words(40) + common + words(40)) for _ in range(6)]
+    found, classes = passages.passages(make_docs(texts))
+    ids = {r.uid: r.doc_id for r in classes.collect()}
+    place = {d: k for k, d in enumerate(sorted(ids.values()))}
+    pairs = {tuple(sorted((place[ids[r.uid]], place[ids[r.other]]))) for r in found.collect() if r.end - r.start >= 50}
+    assert {(8 * k, 8 * k + 1) for k in range(40)} <= pairs
+
+
+def test_windows_of_a_task_align_as_those_of_several_tasks_do():
+    """An overlap of `width` is enough in a task too; what doesn't align with the star goes on, as do its further windows."""
+    key, function = np.full(4, 7), np.zeros(4, np.int64)
+    uid, at = np.array([1, 2, 3, 4]), np.array([100, 100, 100, 100])
+    star = int(np.argmin(passages._priority(uid, function)))
+    first, last = at - 60, at + 60
+    first[star], last[star] = 100, 145
+    first[(star + 1) % 4], last[(star + 1) % 4] = 60, 136
+    first[(star + 2) % 4], last[(star + 2) % 4] = 60, 110
+    sent, joined = passages._join_star(key, uid, function, at, first, last, 36)
+    assert sorted(sent[1]) == sorted([uid[star], uid[(star + 2) % 4]])
+    assert sorted(joined[1]) == sorted([uid[(star + 1) % 4], uid[(star + 3) % 4]])
